@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tesserae.llm import lang_id
+from tesserae.llm import lang_id, line_dedup, simhash
 from tesserae.llm.text import documents
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -23,3 +23,15 @@ def query(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession
 def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = lang_id.identify(documents(spark, sf_dir), train=~lang_id.held_out())
     return found.select("doc_id", lang_id.held_out().alias("held_out"), "lang_pred", "score", F.col("bits_per_byte"))
+
+
+@query
+def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = line_dedup.dedup_lines(documents(spark, sf_dir).select("doc_id", "text"), min_docs=10, min_chars=1)
+    return found.select("doc_id", "n_lines", "n_dropped", "kept_sha256")
+
+
+@query
+def op4_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = simhash.near_groups(documents(spark, sf_dir), most=4, words=4)
+    return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
