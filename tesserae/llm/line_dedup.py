@@ -16,6 +16,7 @@ import pyarrow as pa
 import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType
 
 from tesserae.llm.text import BLANKS, LOWER, OWN, UPPER, blocks, ddl, map_arrow, settled, ship, text_hash, width, with_columns
 
@@ -112,7 +113,7 @@ def dropped_lines(docs: DataFrame, min_docs: int = 10, min_chars: int = 1, keep_
     return decided.select(place).union(open_).union(later).distinct()
 
 
-@F.pandas_udf("binary")
+@F.pandas_udf(BinaryType())
 def _bitmap(n_lines, drops):  # noqa: ANN001, ANN202
     import pandas as pd
 

@@ -7,13 +7,20 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tesserae.llm import lang_id, line_dedup, simhash
+from tesserae.llm import decontam, id_planes, lang_id, line_dedup, packing, simhash
 from tesserae.llm.text import documents
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
 
 
+def tokenizer(name: str = "byte_bpe_50k.json") -> str:
+    """Where a public tokenizer's file is; the same place on every worker."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
 def query(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
     QUERIES[f.__name__] = f
     return f
@@ -35,3 +42,19 @@ def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op4_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_groups(documents(spark, sf_dir), most=4, words=4)
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+@query
+def op1_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontam.scan(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"), window=10)
+    return found.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", (F.col("n_hit") > 0).alias("contaminated"))
+
+
+@query
+def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(documents(spark, sf_dir), tokenizer(), length=1024, end_id=0)
+
+
+@query
+def op9_id_planes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return id_planes.round_trip(documents(spark, sf_dir), tokenizer(), end_id=2)
