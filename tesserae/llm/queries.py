@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tesserae.llm import decontam, id_planes, lang_id, line_dedup, packing, simhash
+from tesserae.llm import decontam, embed_dedup, id_planes, lang_id, line_dedup, packing, simhash, token_count
 from tesserae.llm.text import documents
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -58,3 +58,13 @@ def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op9_id_planes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return id_planes.round_trip(documents(spark, sf_dir), tokenizer(), end_id=2)
+
+
+@query
+def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_count.count_tokens(documents(spark, sf_dir), tokenizer(), limit=512)
+
+
+@query
+def op7_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embed_dedup.near_groups(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), least=0.98)
