@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tesserae.llm import decontam, embed_dedup, id_planes, lang_id, line_dedup, packing, simhash, token_count
+from tesserae.llm import decontam, embed_dedup, id_planes, lang_id, line_dedup, packing, simhash, suffix_dedup, token_count
 from tesserae.llm.text import documents
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -68,3 +68,8 @@ def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op7_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embed_dedup.near_groups(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), least=0.98)
+
+
+@query
+def op5_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.remove_repeats(documents(spark, sf_dir), size=50).drop("kept")
