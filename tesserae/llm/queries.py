@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tesserae.llm import decontam, embed_dedup, id_planes, lang_id, line_dedup, packing, simhash, suffix_dedup, token_count
+from tesserae.llm import decontam, embed_dedup, id_planes, lang_id, license_scan, line_dedup, packing, simhash, suffix_dedup, token_count
 from tesserae.llm.text import documents
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -73,3 +73,9 @@ def op7_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op5_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.remove_repeats(documents(spark, sf_dir), size=50).drop("kept")
+
+
+@query
+def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = license_scan.scan_licenses(documents(spark, sf_dir), k=5, least=0.8)
+    return found.select("doc_id", "n_matches", F.array_join("licenses", ",").alias("licenses"), F.array_max(F.col("matches.containment")).alias("best_containment"))
