@@ -13,6 +13,7 @@ documents are streamed once and pass through the automata one after the other.
 from __future__ import annotations
 
 import hashlib
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -141,7 +142,7 @@ def shards(benchmark: DataFrame, shard_words: int = 2_000_000, item_id: str = "i
         yield part
 
 
-_BUILT: dict[int, Automaton] = {}
+_BUILT: dict[tuple[str, int], Automaton] = {}
 
 
 def _merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -163,6 +164,7 @@ def scan(docs: DataFrame, benchmark: DataFrame, window: int = 10, shard_words: i
     """
     sc = docs.sparkSession.sparkContext
     shared = [sc.broadcast(s) for s in shards(benchmark, shard_words)]
+    call = uuid.uuid4().hex
     names = ["n_words", "n_hit", "n_items", "items_sha256", "hits"]
     base = docs.drop(*names)
 
@@ -173,12 +175,12 @@ def scan(docs: DataFrame, benchmark: DataFrame, window: int = 10, shard_words: i
                 split = [words_of(t) for t in texts]
                 spans: list[list[tuple[int, int]]] = [[] for _ in texts]
                 ids: list[set] = [set() for _ in texts]
-                for b in shared:
-                    if b.id not in _BUILT:
-                        if len(_BUILT) >= max(1, len(shared)):
+                for n, b in enumerate(shared):
+                    if (call, n) not in _BUILT:
+                        if any(c != call for c, _ in _BUILT):
                             _BUILT.clear()
-                        _BUILT[b.id] = Automaton(b.value, window)
-                    machine = _BUILT[b.id]
+                        _BUILT[call, n] = Automaton(b.value, window)
+                    machine = _BUILT[call, n]
                     for k, w in enumerate(split):
                         got, items = machine.scan(w)
                         if got:
