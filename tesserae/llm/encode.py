@@ -15,10 +15,7 @@ import re
 import numpy as np
 
 #: Pieces that a worker remembers; beyond that it forgets all and starts anew.
-REMEMBERED = 1_000_000
-_CLEAN = re.compile(r"\s\s|<\|").search
-#: A comma or full stop after a letter or digit begins a cut of its own; after anything else it may not.
-_JOINED = re.compile(r"[\W_][.,]|\x01").search
+REMEMBERED = 2_000_000
 _CUT = re.compile(r"(?<=\S) (?=\S)").split
 _SPACE = re.compile(r"\s").search
 
@@ -37,26 +34,40 @@ class Encoder:
         self.by_piece = self.by_piece and all(t.startswith("<|") for t in self.special)
         self.dtype = np.dtype("<u2" if self.lib.get_vocab_size() <= 1 << 16 else "<u4")
         self.known: dict[str, bytes] = {}
+        self.odd: set[str] = set()  # pieces that may stand beside white space, where a blank need not be a cut
+        self.tails = {c: self._whole([c])[0] for c in ",."}
 
     def _whole(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, self.dtype).tobytes() for e in self.lib.encode_batch_fast(texts, add_special_tokens=False)]
 
     def _learn(self, new: list[str]) -> None:
-        r"""new: pieces; one that starts with \n is a line's first, with \x01 one inside a word, any other has a blank before it."""
-        line = self._whole(["\n"])[0]
-        plain, odd = [], []
+        r"""new: pieces; one that starts with \n is a line's first, any other has a blank before it."""
+        plain, odd, ended = {}, [], []
+        known = self.known
         for p in new:
-            (odd if not p or p[0] == "\x01" or _SPACE(p, p[0] == "\n") or p == "\n" else plain).append(p)
-        for p, ids in zip(odd, self._whole([p[1:] if p[:1] == "\x01" else p if p[:1] == "\n" else " " + p for p in odd]), strict=True):
-            self.known[p] = ids
-        mark, size = int(np.frombuffer(line, self.dtype)[0]), self.dtype.itemsize
-        for at in range(0, len(plain), 2000):
-            some = plain[at : at + 2000]
+            if p.isalpha():
+                plain[p] = None
+            elif not p or p == "\n" or _SPACE(p, p[0] == "\n"):
+                odd.append(p)
+            elif p[-1] in ",." and p[-2:-1].isalnum():  # after a letter or digit a mark is always cut off
+                ended.append(p)
+                if p[:-1] not in known:
+                    plain[p[:-1]] = None
+            else:
+                plain[p] = None
+        self.odd.update(odd)
+        for p, ids in zip(odd, self._whole([p if p[:1] == "\n" else " " + p for p in odd]), strict=True):
+            known[p] = ids
+        mark, size, plain = int(np.frombuffer(self._whole(["\n"])[0], self.dtype)[0]), self.dtype.itemsize, list(plain)
+        for at in range(0, len(plain), 1000):
+            some = plain[at : at + 1000]
             (raw,) = self._whole(["".join([p if p[0] == "\n" else "\n " + p for p in some])])
             start = np.flatnonzero(np.frombuffer(raw, self.dtype) == mark) * size
             end = np.r_[start[1:], len(raw)]
             for p, a, b in zip(some, start.tolist(), end.tolist(), strict=True):
-                self.known[p] = raw[a if p[0] == "\n" else a + size : b]
+                known[p] = raw[a if p[0] == "\n" else a + size : b]
+        for p in ended:
+            known[p] = known[p[:-1]] + self.tails[p[-1]]
 
     def encode(self, texts: list[str | None]) -> list[np.ndarray]:
         """An array of ids for each text; null counts as empty."""
@@ -64,30 +75,28 @@ class Encoder:
         parts: list = [None] * len(texts)
         whole: list[int] = []
         heads: dict[int, str] = {}
+        if len(self.known) > REMEMBERED:
+            self.known.clear()
+            self.odd.clear()
+        seen: set[str] = set()
         for k, t in enumerate(texts):
             if not t:
                 out[k] = b""
             elif not self.by_piece or t.isspace() or "<|" in t and any(s in t for s in self.special):
                 whole.append(k)
-            elif _CLEAN(t):
-                head, *parts[k] = _CUT(t)
-                heads[k] = head
             else:
-                t = ("\n" + t).replace("\n", " \n")
-                if not _JOINED(t):
-                    t = t.replace(",", " \x01,").replace(".", " \x01.")
-                parts[k] = t.split(" ")[1:]
+                parts[k] = ("\n" + t).replace("\n", " \n").split(" ")[1:]
+                seen.update(parts[k])
+        self._learn([p for p in seen if p not in self.known])
+        more: set[str] = set()
+        for k, p in enumerate(parts):
+            if p and not self.odd.isdisjoint(p):
+                heads[k], *parts[k] = _CUT(texts[k])
+                more.update(parts[k])
+        self._learn([p for p in more if p not in self.known])
         for k, ids in zip(whole, self._whole([texts[k] for k in whole]) if whole else [], strict=True):
             out[k] = ids
         lead = dict(zip(heads, self._whole(list(heads.values())) if heads else [], strict=True))
-        if len(self.known) > REMEMBERED:
-            self.known.clear()
-        seen: set[str] = set()
-        for p in parts:
-            if p:
-                seen.update(p)
-        if new := [p for p in seen if p not in self.known]:
-            self._learn(new)
         get, size = self.known.__getitem__, self.dtype.itemsize
         for k, p in enumerate(parts):
             if k in lead:
