@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tesserae.plans import content, history  # noqa: F401  they register themselves
+from tesserae.plans import content, files, history  # noqa: F401  they register themselves
 from tesserae.plans.registry import ORACLE_SQL, QUERIES
 
 __all__ = ["ORACLE_SQL", "QUERIES"]

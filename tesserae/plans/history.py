@@ -192,7 +192,7 @@ def conversions(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-_MS = "select *, cast(epoch_ms(ts) as bigint) as at_ms from observations"
+_MS = "select *, cast((epoch_us(ts) // 1000) as bigint) as at_ms from observations"
 
 
 def _timed(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -325,7 +325,7 @@ def announced_threshold(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     with_("observations")
-    + """, m as (select *, cast(epoch_ms(ts) as bigint) as at_ms, (select max(cast(epoch_ms(ts) as bigint)) - 86400000 from observations) as now_ms from observations)
+    + """, m as (select *, cast((epoch_us(ts) // 1000) as bigint) as at_ms, (select max(cast((epoch_us(ts) // 1000) as bigint)) - 86400000 from observations) as now_ms from observations)
     select peer, cast(coalesce(sum(settled_units) filter (where at_ms + 2500 <= now_ms), 0) as bigint) as credited, cast(coalesce(sum(settled_units) filter (where at_ms + 2500 > now_ms), 0) as bigint) as pending from m group by peer"""
 )
 def delayed_credit(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -5,6 +5,8 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -27,3 +29,18 @@ def settled(df: DataFrame) -> DataFrame:
     """Cuts the lineage by a reliable checkpoint."""
     shared_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def ship(spark: SparkSession) -> None:
+    """Makes this package importable in Python workers where the cluster doesn't provide it already."""
+    root = str(Path(__file__).resolve().parents[1])
+    sc = spark.sparkContext
+    if getattr(sc, "_tesserae_shipped", False):
+        return
+    if root not in [os.path.realpath(p) for p in os.environ.get("PYTHONPATH", "").split(os.pathsep) if p]:
+        to = Path(tempfile.mkdtemp(), "tesserae.zip")
+        with zipfile.ZipFile(to, "w") as z:
+            for f in sorted(Path(root, "tesserae").rglob("*.py")):
+                z.write(f, f.relative_to(root))
+        sc.addPyFile(str(to))
+    sc._tesserae_shipped = True

@@ -108,7 +108,7 @@ SQL = {
     "observations": """select user_id as peer, ts, event_id, 1350000 + 450000 * (event_id % 19) as threshold,
         case when event_id % 4 <> 0 then 500 + v % 4000 end as lambda_ms, v * 1000 as settled_units,
         case when event_id % 3 <> 0 then v % 300 else 0 end as service_x10, case when event_id % 5 = 0 then v end as surplus,
-        event_id % 2 = 0 as clean, cast(floor(epoch(ts)) as bigint) as at from (select *, cast(floor(abs(value)) as bigint) as v from events)""",
+        event_id % 2 = 0 as clean, epoch_us(ts) // 1000000 as at from (select *, cast(floor(abs(value)) as bigint) as v from events)""",
     "runs": """select l_suppkey as peer, [1, 8, 32, 100][l_linenumber % 4 + 1] as depth, l_orderkey as run, cast(l_linenumber as int) as part,
         case when l_returnflag = 'R' then 0 else q end as chunks_ok, case when l_returnflag = 'N' then 0 else q % 5 end as chunks_err, q * 4096 as bytes,
         1 + l_orderkey % 30 as wall_s, case when l_returnflag = 'R' then 'dial_failed: refused' when l_linestatus = 'F' then 'complete' else 'budget' end as stop_reason,
