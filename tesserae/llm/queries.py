@@ -7,11 +7,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tesserae.llm import decontam, embed_dedup, id_planes, lang_id, license_scan, line_dedup, packing, simhash, suffix_dedup, token_count
+from tesserae.llm import decontam, embed_dedup, id_planes, lang_id, license_scan, line_dedup, oracles, packing, simhash, suffix_dedup, token_count
 from tesserae.llm.text import documents
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = oracles.ORACLE_SQL
 
 
 def tokenizer(name: str = "byte_bpe_50k.json") -> str:
