@@ -137,12 +137,13 @@ def keep_bitmaps(docs: DataFrame, min_docs: int = 10, min_chars: int = 1, keep_f
     return gone.select("doc_id", "th", F.size("drops").cast("long").alias("n_dropped"), _bitmap(((last + 7) / 8).cast("int") * 8, "drops").alias("keep"))
 
 
-def dedup_lines(docs: DataFrame, min_docs: int = 10, min_chars: int = 1, keep_first: bool = False) -> DataFrame:
+def dedup_lines(docs: DataFrame, min_docs: int = 10, min_chars: int = 1, keep_first: bool = False, most_share: float | None = None) -> DataFrame:
     """docs with the lines found in at least ``min_docs`` documents taken out of text, and n_lines, n_dropped, kept_sha256 added.
 
     A line's key is the line without blanks at its ends and with A-Z lower-cased; keys of fewer
     than ``min_chars`` code points always stay. keep_first leaves each such line where it stands
-    first (smallest document, then position). A null or empty text is one empty line and stays as
+    first (smallest document, then position). most_share leaves a document whole that would lose
+    more than this share of its characters: it is a copy rather than a text with boilerplate. A null or empty text is one empty line and stays as
     it is. Documents are told apart by doc_id: rows that share one count once. Columns named
     n_lines, n_dropped or kept_sha256 are replaced.
     """
@@ -169,6 +170,8 @@ def dedup_lines(docs: DataFrame, min_docs: int = 10, min_chars: int = 1, keep_fi
                         bits = np.unpackbits(np.frombuffer(zstandard.decompress(m), np.uint8))
                         left = [p for p, b in zip(parts, bits.tolist() + [1] * (len(parts) - len(bits)), strict=False) if b]
                         stay = "\n".join(left)
+                        if most_share is not None and len(t) - len(stay) > most_share * len(t):
+                            stay, left = t, parts
                     lines.append(len(parts))
                     gone.append(len(parts) - len(left))
                     kept.append(stay)
