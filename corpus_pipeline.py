@@ -23,8 +23,12 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Leaves lines that stand in ten documents or more only where they stand first, so that one copy of each text stays whole."""
-    return line_dedup.dedup_lines(docs, min_docs=10, min_chars=1, keep_first=True).select(docs.columns)
+    """Takes lines that stand in ten documents or more out of all of them.
+
+    A document that would lose more than half of its characters stays whole: its lines are common
+    because the document is, and the next stage leaves one of such copies.
+    """
+    return line_dedup.dedup_lines(docs, min_docs=10, min_chars=1, most_share=0.5).select(docs.columns)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
