@@ -131,7 +131,7 @@ class Cutter:
 class Pieces:
     """The second transducer: tokens of a piece of bytes."""
 
-    def __init__(self, vocabulary: dict[bytes, int], merges: list[tuple[bytes, bytes]], most_states: int = 1_500_000):
+    def __init__(self, vocabulary: dict[bytes, int], merges: list[tuple[bytes, bytes]], most_states: int = 500_000):
         self.vocabulary, self.most_states = vocabulary, most_states
         self.rank = {pair: k for k, pair in enumerate(merges)}
         made = {a + b: (a, b) for a, b in merges}
