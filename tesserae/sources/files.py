@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -10,6 +12,7 @@ from tesserae.operators.rank import keep_first
 
 TOPOLOGY = "overlay_hex string, dialed_ok string, rtt_ms string, last_seen_ms string, underlays string"
 PEER_STATE = "overlay_hex string, threshold_last string, lambda_ms string, settled_units string, last_ok_unix string, service_cps_x10 string, surplus_units string"
+#: The first line of a resume sidecar, where the caller gives no other.
 SIDECAR_MAGIC = "resume-state v1"
 
 
@@ -142,14 +145,14 @@ def read_chunk_index(spark: SparkSession, path: str, magic: str, data_end: int)
     return rows.where((F.col("address").isNotNull()) & (F.col("offset") >= 0) & (F.col("len") >= 0) & (F.col("offset") + F.col("len") <= data_end))
 
 
-def sidecar_text(root: Column, offset: Column) -> Column:
+def sidecar_text(root: Column, offset: Column, magic: str = SIDECAR_MAGIC) -> Column:
     """P25."""
-    return F.concat(F.lit(SIDECAR_MAGIC + "\nroot="), root, F.lit("\noffset="), offset.cast("string"))
+    return F.concat(F.lit(magic + "\nroot="), root, F.lit("\noffset="), offset.cast("string"))
 
 
-def parse_sidecar(text: Column) -> Column:
+def parse_sidecar(text: Column, magic: str = SIDECAR_MAGIC) -> Column:
     """Struct of root and offset, NULL for anything that isn't exactly such a text."""
-    form = f"^{SIDECAR_MAGIC}\nroot=([0-9a-fA-F]{{64}})\noffset=([0-9]{{1,19}})\n?$"
+    form = f"^{re.escape(magic)}\nroot=([0-9a-fA-F]{{64}})\noffset=([0-9]{{1,19}})\n?$"
     at = F.regexp_extract(text, form, 2).try_cast("bigint")
     return F.when(text.rlike(form) & at.isNotNull(), F.struct(F.lower(F.regexp_extract(text, form, 1)).alias("root"), at.alias("offset")))
 
