@@ -266,7 +266,8 @@ def remove_repeats(docs: DataFrame, size: int = 50, gram: int = 20) -> DataFrame
 
         def out() -> pa.RecordBatch:
             h, of = (np.concatenate([x[k] for x in held]) for k in (0, 1))
-            doc, th = np.array(docs_, np.int64), np.array(ths, np.int64)
+            doc = np.array(docs_, np.int64)
+            home = _home(doc, np.array(ths, np.int64), n).astype("<u4")
             buckets, raws = [], []
             for b, rows in _dealt((h % np.uint64(n)).astype(np.int64), n):
                 order = rows[np.lexsort((of[rows], h[rows]))]
@@ -274,7 +275,7 @@ def remove_repeats(docs: DataFrame, size: int = 50, gram: int = 20) -> DataFrame
                 once = np.r_[True, (a[1:] != a[:-1]) | (o[1:] != o[:-1])]
                 used, k = np.unique(o[once], return_inverse=True)
                 buckets.append(b)
-                raws.append(_packed(np.diff(a[once], prepend=np.uint64(0)), k.astype("<u4" if len(used) > 65535 else "<u2"), doc[used], th[used]))
+                raws.append(_packed(np.diff(a[once], prepend=np.uint64(0)), k.astype("<u4" if len(used) > 65535 else "<u2"), np.diff(doc[used], prepend=0), home[used]))
             return pa.RecordBatch.from_arrays([pa.array(buckets, pa.int32()), pa.array(raws, pa.binary())], ["bucket", "raw"])
 
         for batch in batches:
@@ -293,25 +294,35 @@ def remove_repeats(docs: DataFrame, size: int = 50, gram: int = 20) -> DataFrame
 
     def repeated(pdf):  # noqa: ANN001, ANN202
         """Of a bucket of anchors those that two documents have, by document."""
-        hs, docs_, ths = [], [], []
+        hs, docs_, homes = [], [], []
         for raw in pdf["raw"]:
-            a, k, doc, th = _unpacked(raw)
+            a, k, doc, home = _unpacked(raw)
             hs.append(np.cumsum(a, dtype=np.uint64))
-            docs_.append(doc[k])
-            ths.append(th[k])
-        h, doc, th = np.concatenate(hs), np.concatenate(docs_), np.concatenate(ths)
+            docs_.append(np.cumsum(doc)[k])
+            homes.append(home[k])
+        h, doc, home = np.concatenate(hs), np.concatenate(docs_), np.concatenate(homes)
         order = np.argsort(h, kind="stable")
-        h, doc, th = h[order], doc[order], th[order]
+        h, doc, home = h[order], doc[order], home[order]
         start = np.flatnonzero(np.r_[True, h[1:] != h[:-1]])
         shared = np.minimum.reduceat(doc, start) != np.maximum.reduceat(doc, start)
         keep = np.repeat(shared, np.diff(np.r_[start, len(h)]))
-        h, doc, th = h[keep], doc[keep], th[keep]
-        pair, of = np.unique(np.stack([doc, th], 1), axis=0, return_inverse=True)
-        return _pdf(list(_to_documents(np.ascontiguousarray(pair[:, 0]), np.ascontiguousarray(pair[:, 1]), of.reshape(-1), n, h)))
+        h, doc, home = h[keep], doc[keep], home[keep]
+        out = []
+        for b, rows in _dealt(home.astype(np.int64), n) if len(h) else ():
+            rows = rows[np.argsort(doc[rows], kind="stable")]
+            used, count = np.unique(doc[rows], return_counts=True)
+            out.append((b, _packed(np.diff(used, prepend=0), count.astype("<u4"), h[rows])))
+        return _pdf(out)
 
     def segments(docs_pdf, marks_pdf):  # noqa: ANN001, ANN202
         """Of a bucket of documents the segments with repeated anchors, by anchor; equal ones as one."""
-        marks = _for_document(list(marks_pdf["raw"]))
+        # by id alone: that another row with this id has an anchor only lets more pass
+        marks: dict[int, list[np.ndarray]] = {}
+        for packed in marks_pdf["raw"]:
+            doc, count, h = _unpacked(packed)
+            edge = np.r_[0, np.cumsum(count.astype(np.int64))]
+            for j, d in enumerate(np.cumsum(doc).tolist()):
+                marks.setdefault(d, []).append(h[edge[j] : edge[j + 1]])
         found: dict[bytes, int] = {}
         at: dict[str, list] = {"anchor": [], "content": [], "doc": [], "pos": []}
         ids, ths = docs_pdf["doc"].to_numpy(np.int64), docs_pdf["th"].to_numpy(np.int64)
@@ -327,7 +338,7 @@ def remove_repeats(docs: DataFrame, size: int = 50, gram: int = 20) -> DataFrame
             whole = raw.tobytes()
             begin = np.r_[0, ends[:-1]]
             for j, k in enumerate(group):
-                mine = np.concatenate([x[0] for x in marks[ids[k], ths[k]]])
+                mine = np.concatenate(marks[ids[k]])
                 rows = np.flatnonzero(np.isin(h[edge[j] : edge[j + 1]], mine)) + edge[j]
                 for a, c, x in zip(first[rows].tolist(), count[rows].tolist(), h[rows].tolist(), strict=True):
                     content = found.setdefault(whole[a : a + c + size - 1], len(found))
@@ -340,7 +351,7 @@ def remove_repeats(docs: DataFrame, size: int = 50, gram: int = 20) -> DataFrame
 
         seen = set()
         for k, key in enumerate(zip(ids.tolist(), ths.tolist(), strict=True)):
-            if key in marks and key not in seen:  # repeated rows have equal results
+            if key[0] in marks and key not in seen:  # repeated rows have equal results
                 seen.add(key)
                 group.append(k)
                 held += len(docs_pdf["text"].iat[k])
