@@ -12,7 +12,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tesserae.llm import decontam, lang_id, line_dedup, packing, simhash
+from tesserae.llm import decontam, lang_id, line_dedup, packing, simhash, similar
 from tesserae.llm.queries import tokenizer
 from tesserae.llm.text import documents, shared_path
 
@@ -32,8 +32,8 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Leaves of each group of near duplicates the document with the smallest doc_id."""
-    return simhash.one_of_each(docs, most=4)
+    """Leaves of each group of near duplicates (five-word similarity >= 0.8, verified) the document with the smallest doc_id."""
+    return simhash.one_of_each(docs, groups=similar.similar_groups(docs, least=0.8, words=5))
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

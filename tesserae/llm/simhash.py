@@ -279,12 +279,15 @@ def near_groups(docs: DataFrame, most: int = 4, words: int = 4) -> DataFrame:
     return per_doc.join(named.join(low, "part").select("fp", "component_id"), "fp").select("doc_id", "th", "fp", "component_id")
 
 
-def one_of_each(docs: DataFrame, most: int = 4) -> DataFrame:
-    """The documents that stay: of each group of near duplicates the one with the smallest doc_id (of rows that share it, one)."""
+def one_of_each(docs: DataFrame, most: int = 4, groups: DataFrame | None = None) -> DataFrame:
+    """The documents that stay: of each group of near duplicates the one with the smallest doc_id (of rows that share it, one).
+
+    groups: (doc_id, th, component_id) of every document, if not near_groups'.
+    """
     keys = [OWN + "id", OWN + "no_id", OWN + "th"]
     # keys that are never null, so that the join's partitioning serves to leave one of repeated rows too
     named = lambda th: [F.coalesce("doc_id", F.lit(0)), F.col("doc_id").isNull(), th]
-    stay = near_groups(docs, most).where(F.col("doc_id").eqNullSafe(F.col("component_id")))
+    stay = (near_groups(docs, most) if groups is None else groups).where(F.col("doc_id").eqNullSafe(F.col("component_id")))
     stay = stay.groupBy("doc_id", "component_id").agg(F.min("th").alias("th")).select(*[c.alias(k) for c, k in zip(named(F.col("th")), keys, strict=True)])
     tagged = docs.withColumns(dict(zip(keys, named(text_hash()), strict=True)))
     return tagged.join(stay, keys, "left_semi").dropDuplicates(keys).select(docs.columns)
