@@ -25,10 +25,11 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Takes lines that stand in ten documents or more out of all of them.
 
-    A document that would lose more than half of its characters stays whole: its lines are common
-    because the document is, and the next stage leaves one of such copies.
+    Only copies, documents of the same sequence of lines, keep those of their lines that fewer than ten
+    different sequences have: such lines are common because the document is, and the next stage leaves
+    one of the copies.
     """
-    return line_dedup.dedup_lines(docs, min_docs=10, min_chars=1, most_share=0.5).select(docs.columns)
+    return line_dedup.dedup_lines(docs, min_docs=10, min_chars=1, spare_copies=True).select(docs.columns)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

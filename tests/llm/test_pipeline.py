@@ -54,3 +54,15 @@ def test_suffixes_equal_sql(spark, tmp_path):
     spark.read.parquet(f"{DATA}/sf0.001/documents.parquet").where("octet_length(text) < 2000").write.parquet(f"{sf}/documents.parquet")
     con.sql(f"create or replace view documents as select * from '{tmp_path}/documents.parquet/*.parquet'")
     assert not differences(queries.QUERIES["op5_suffix_array_dedup"](spark, sf), oracles.SUFFIXES, con)
+
+
+def test_line_stage_spares_only_copies(spark):
+    many = [(k, f"own words of number {k}\nAll rights reserved by nobody in particular\nRead more below", "en") for k in range(12)]
+    short = [(20, "All rights reserved by nobody in particular\nshort", "en"), (21, "Read more below\nAll rights reserved by nobody in particular", "en")]
+    copies = [(30 + k, "A first line that is copied\n" + ("a SECOND one " if k % 2 else "a second one") + "\nread more below", "en") for k in range(11)]
+    guest = [(50, "a second one\nbut no copy of the others", "en"), (None, copies[0][1], "en")]
+    docs = spark.createDataFrame(many + short + copies + guest, "doc_id long, text string, lang string").repartition(3)
+    got = {r.doc_id: r.text for r in corpus_pipeline.lines(spark, docs, "").collect()}
+    want = {k: f"own words of number {k}" for k in range(12)} | {20: "short", 21: "", 50: "but no copy of the others"}
+    want |= {d: t.rpartition("\n")[0] for d, t, _ in [*copies, guest[1]]}
+    assert got == want
