@@ -8,12 +8,14 @@ from pyspark.sql import functions as F
 from tesserae.session import settled
 
 
-def crawl(seeds: DataFrame, edges: DataFrame, most_dials: int, dead: DataFrame | None = None, most_levels: int = 64) -> DataFrame:
-    """G1: breadth-first crawl from seeds (peer) over edges (src, dst); (peer, level, seq, dialed, ok).
+def crawl(seeds: DataFrame, edges: DataFrame, most_dials: int, dead: DataFrame | None = None, most_levels: int | None = None) -> DataFrame:
+    """G1: breadth-first crawl from seeds (peer) over edges (src, dst); (peer, level, seq, dialed, ok, stop).
 
     Peers are visited once, in order of (level, who announced them, id), and dialled while fewer than
     most_dials were; a dead peer's dial fails and expands nothing. seq is the place in the queue.
-    Each level is a join, with the visited set cut in the shared folder.
+    Each level is a join, with the visited set cut in the shared folder. stop is why the crawl ended:
+    drained (nobody is left to expand), dials (most_dials left peers undialled) or levels (most_levels,
+    where the caller gives one, left peers unexpanded).
     """
     nothing = seeds.sparkSession.createDataFrame([], "peer long")
     dead = (nothing if dead is None else dead.select("peer").distinct()).withColumn("dead", F.lit(True))
@@ -29,14 +31,21 @@ def crawl(seeds: DataFrame, edges: DataFrame, most_dials: int, dead: DataFrame |
 
     seen = settled(queued(seeds.select("peer").distinct().withColumn("via", F.lit(0)), 0, 0))
     front, dials = seen, seen.where("dialed").count()
-    for level in range(1, most_levels + 1):
+    stop, level = "drained", 0
+    while True:
+        if most_levels is not None and level >= most_levels:
+            stop = "drained" if front.where("ok").isEmpty() else "levels"
+            break
+        level += 1
         told = edges.join(front.where("ok").select(F.col("peer").alias("src"), F.col("seq").alias("via")), "src").groupBy(F.col("dst").alias("peer")).agg(F.min("via").alias("via"))
         front = settled(queued(told.join(seen.select("peer"), "peer", "left_anti"), level, dials))
         if front.isEmpty():
             break
         dials += front.where("dialed").count()
         seen = settled(seen.union(front))
-    return seen
+    if stop == "drained" and not seen.where("not dialed").isEmpty():
+        stop = "dials"
+    return seen.withColumn("stop", F.lit(stop))
 
 
 def tree_walk(nodes: DataFrame, root: str, first: int = 0, last: int | None = None, most_levels: int = 16) -> DataFrame:

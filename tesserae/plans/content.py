@@ -279,9 +279,19 @@ _EDGES = "edges as (select distinct l_suppkey as src, l_partkey % (select count(
     select peer, cast(min(level) as int) as level, peer % 7 <> 3 as ok from walk group by peer"""
 )
 def gossip_crawl(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """G1 without a cap that binds; every seventh peer doesn't answer."""
+    """G1 over the edges of every fortieth order and six levels, which its recursive SQL can walk; gossip_crawl_whole has no such bounds. Every seventh peer doesn't answer."""
     n = D.table(spark, sf_dir, "supplier").count()
     edges = D.table(spark, sf_dir, "lineitem").where("l_orderkey % 40 = 0").select(F.col("l_suppkey").alias("src"), (F.col("l_partkey") % n + 1).alias("dst")).distinct()
     dead = edges.select(F.col("dst").alias("peer")).where("peer % 7 = 3")
     found = graph.crawl(spark.createDataFrame([(1,)], "peer long"), edges, most_dials=1_000_000, dead=dead, most_levels=6)
     return found.select("peer", "level", "ok")
+
+
+@query()
+def gossip_crawl_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """G1 over all edges until nobody is left to expand, with why it stopped; tested against brute force, as recursive SQL over all edges is too slow."""
+    n = D.table(spark, sf_dir, "supplier").count()
+    edges = D.table(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("src"), (F.col("l_partkey") % n + 1).alias("dst")).distinct()
+    dead = edges.select(F.col("dst").alias("peer")).where("peer % 7 = 3")
+    found = graph.crawl(spark.createDataFrame([(1,)], "peer long"), edges, most_dials=2_000_000_000, dead=dead)
+    return found.select("peer", "level", "ok", "stop")
