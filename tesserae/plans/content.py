@@ -86,6 +86,18 @@ def storers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ranked.select("index", "overlay", F.col("rank").cast("bigint").alias("rank"), price.alias("price"))
 
 
+@query(
+    with_("chunks", "nodes")
+    + f"""select "index", overlay, row_number() over (partition by address, "index" order by rtt_ms nulls last, overlay) as rank, 10000 * (32 - {sql_po("address", "overlay")}) as price
+    from chunks join nodes on {sql_prefix("address")} = {sql_prefix("overlay")}"""
+)
+def storers_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every covering node of each chunk; storers has the first three."""
+    ranked = joins.storers(D.chunks(spark, sf_dir), D.nodes(spark, sf_dir), DEPTH)
+    price = S.peer_price(A.proximity("address", "overlay")).cast("bigint")
+    return ranked.select("index", "overlay", F.col("rank").cast("bigint").alias("rank"), price.alias("price"))
+
+
 _HAVE = f"(select {sql_prefix('overlay')} from nodes)"
 
 

@@ -78,15 +78,25 @@ def ledger_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return aggregates.ledger_merge(files.ledger_entries(lines, ours))
 
 
-@query(with_("chunks") + """select address, "index" * 4096 as "offset", cast(data_len as int) as len from chunks where "index" * 4096 + data_len <= 3000000""")
-def chunk_index_file(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Entries beyond the end of the data are left out."""
+def _chunk_index(spark: SparkSession, sf_dir: str, end: int) -> DataFrame:
     path = shared_path(spark, "index")
     c = D.chunks(spark, sf_dir)
     lines = c.select(F.concat_ws(",", "address", (F.col("index") * 4096).cast("string"), F.col("data_len").cast("string")).alias("line"), (F.col("index") % 16).alias("file"))
-    whole = lines.groupBy("file").agg(F.concat(F.lit("chunk-store v1\nend=3000000\n"), F.concat_ws("\n", F.collect_list("line")), F.lit("\nbroken,1\n")).alias("value"))
+    whole = lines.groupBy("file").agg(F.concat(F.lit(f"chunk-store v1\nend={end}\n"), F.concat_ws("\n", F.collect_list("line")), F.lit("\nbroken,1\n")).alias("value"))
     whole.select("value", "file").write.partitionBy("file").text(path)  # a file for each row
-    return files.read_chunk_index(spark, path, "chunk-store", 3_000_000)
+    return files.read_chunk_index(spark, path, "chunk-store", end)
+
+
+@query(with_("chunks") + """select address, "index" * 4096 as "offset", cast(data_len as int) as len from chunks where "index" * 4096 + data_len <= 3000000""")
+def chunk_index_file(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Entries beyond the end of the data are left out."""
+    return _chunk_index(spark, sf_dir, 3_000_000)
+
+
+@query(with_("chunks") + """select address, "index" * 4096 as "offset", cast(data_len as int) as len from chunks where "index" * 4096 + data_len <= (select max("index") * 4096 * 9 // 10 from chunks)""")
+def chunk_index_file_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """S7 with an end that grows with the table: about a tenth of the entries lies beyond it."""
+    return _chunk_index(spark, sf_dir, (D.chunks(spark, sf_dir).agg(F.max("index")).first()[0] or 0) * 4096 * 9 // 10)
 
 
 @query(with_("chunks") + """select "index", case when "index" % 5 <> 0 then address end as root, case when "index" % 5 <> 0 then data_len end as "offset" from chunks""")

@@ -6,6 +6,7 @@ import pytest
 
 from tesserae import catalog
 from tesserae.operators import graph
+from tesserae.sources import domain
 from tests.oracle import DATA, connect
 
 SF = "sf0.001"
@@ -33,3 +34,12 @@ def test_crawl_of_all_edges(spark):
         level |= dict.fromkeys(front, 1 + max(level.values()))
     got = {r.peer: (r.level, r.ok, r.stop) for r in catalog.QUERIES["gossip_crawl_whole"](spark, f"{DATA}/{SF}").collect()}
     assert got == {p: (at, p % 7 != 3, "drained") for p, at in level.items()}
+
+
+@needs_tables
+def test_storers_beyond_the_third(spark):
+    many = f"{DATA}/sf0.01"
+    got = catalog.QUERIES["storers_whole"](spark, many)
+    pairs = catalog.QUERIES["storers"](spark, many)
+    assert got.where("rank > 3").count() > 0 and not got.where("rank <= 3").exceptAll(pairs).count() and not pairs.exceptAll(got).count()
+    assert 0.8 < catalog.QUERIES["chunk_index_file_whole"](spark, many).count() / domain.chunks(spark, many).count() < 0.95
