@@ -8,8 +8,8 @@ segment.
 1. Anchors' hashes go to buckets; those that two documents have come back to their documents. All
    other windows are unique and done with. A hash that stands for two strings only lets more pass.
 2. Segments with such anchors go to buckets by anchor, equal ones of a task as one. Each bucket
-   orders the suffixes at its windows by deep-shallow sorting: a multikey quicksort on characters of
-   eight bytes to a shallow depth, then blind tries for groups that still agree. Neighbours that agree
+   orders the suffixes at its windows by deep-shallow sorting: stable sorts by characters of
+   eight bytes to a shallow depth (in place of a multikey quicksort), then blind tries for groups that still agree. Neighbours that agree
    over the whole window are one string, and its smallest document is known.
 3. Covered windows come back to their documents, which drop the bytes.
 
