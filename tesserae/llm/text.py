@@ -8,19 +8,17 @@ equal results.
 
 from __future__ import annotations
 
-import io
-import os
-import tempfile
-import uuid
-import zipfile
 from collections.abc import Callable, Iterable, Iterator
-from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tesserae.session import removed, settled, shared_dir, shared_path, ship
+
+__all__ = ["removed", "settled", "shared_dir", "shared_path", "ship"]
+
 #: Columns that operators add for themselves start with this.
 OWN = "__tess_"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -32,47 +30,6 @@ def text_hash(text: str = "text") -> Column:
     return F.xxhash64(F.col(text), F.octet_length(F.coalesce(F.col(text), F.lit(""))))
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors share: spark.checkpoint.dir.
-
-    Only where the session names none (tests, local mode) a local one is made.
-    """
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not found:
-        found = "file://" + os.path.join(tempfile.gettempdir(), f"tesserae-{os.getuid()}")
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(found)
-    return found
-
-
-def shared_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
-
-
-def settled(df: DataFrame) -> DataFrame:
-    """Cuts the lineage in the shared folder, so that what follows reads files and not its past."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
-
-
-def ship(spark: SparkSession) -> None:
-    """Makes this package importable in Python workers where the cluster doesn't provide it already."""
-    root = str(Path(__file__).resolve().parents[2])
-    sc = spark.sparkContext
-    if getattr(sc, "_tesserae_shipped", False):
-        return
-    known = [os.path.realpath(p) for p in os.environ.get("PYTHONPATH", "").split(os.pathsep) if p]
-    if root not in known:
-        zipped = io.BytesIO()
-        with zipfile.ZipFile(zipped, "w") as z:
-            for f in sorted(Path(root, "tesserae").rglob("*.py")):
-                z.write(f, f.relative_to(root))
-        to = Path(tempfile.mkdtemp(), "tesserae.zip")
-        to.write_bytes(zipped.getvalue())
-        sc.addPyFile(str(to))
-    sc._tesserae_shipped = True
-
-
 def map_arrow(df: DataFrame, f: Callable[[Iterator[pa.RecordBatch]], Iterable[pa.RecordBatch]], schema: str) -> DataFrame:
     ship(df.sparkSession)
     return df.mapInArrow(f, schema)
