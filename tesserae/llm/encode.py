@@ -14,12 +14,34 @@ import re
 
 import numpy as np
 
-#: Pieces that a worker remembers; beyond that it forgets all and starts anew.
-REMEMBERED = 1_000_000
+#: Bytes of pieces that a worker holds in each of two generations: as the younger one fills up, the older one is forgotten.
+REMEMBERED = 100_000_000
+#: What a piece takes besides its characters and ids.
+_EACH = 200
 _CUT = re.compile(r"(?<=\S) (?=\S)").split
 _SPACE = re.compile(r"\s").search
 
 
+class _Memo(dict):
+    """ids of pieces, None where a blank beside the piece need not be a cut; what it hasn't is noted down, to be filled in later."""
+
+    __slots__ = ("before", "new")
+
+    def __init__(self, before: dict):
+        self.before, self.new = before, []
+
+    def __missing__(self, p: str) -> bytes | bytearray | None:
+        x = self.before.get(p, self)
+        if x is not self:
+            self[p] = x
+        elif p.isalpha() or p and p != "\n" and not _SPACE(p, p[0] == "\n"):
+            x = self[p] = bytearray()
+        else:
+            x = self[p] = None
+        self.new.append(p)
+        return x
+
+
 class Encoder:
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -33,41 +55,55 @@ class Encoder:
         self.special = [t["content"] for t in told.get("added_tokens", [])]
         self.by_piece = self.by_piece and all(t.startswith("<|") for t in self.special)
         self.dtype = np.dtype("<u2" if self.lib.get_vocab_size() <= 1 << 16 else "<u4")
-        self.known: dict[str, bytes] = {}
-        self.odd: set[str] = set()  # pieces that may stand beside white space, where a blank need not be a cut
+        self.known = _Memo({})
+        self.held = 0
         self.tails = {c: self._whole([c])[0] for c in ",."}
+        self.blank = np.array([(self.lib.id_to_token(k) or "").startswith("\u0120") for k in range(self.lib.get_vocab_size())])
 
     def _whole(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, self.dtype).tobytes() for e in self.lib.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _learn(self, new: list[str]) -> None:
-        r"""new: pieces; one that starts with \n is a line's first, any other has a blank before it."""
-        plain, odd, ended = {}, [], []
-        known = self.known
+    def _learn(self) -> None:
+        r"""Fills in the new pieces; one that starts with \n is a line's first, any other has a blank before it."""
+        plain, first, ended = {}, [], []
+        known, new = self.known, self.known.new
         for p in new:
-            if p.isalpha():
-                plain[p] = None
-            elif not p or p == "\n" or _SPACE(p, p[0] == "\n"):
-                odd.append(p)
+            if type(known[p]) is not bytearray:
+                continue
+            if p[0] == "\n":
+                first.append(p)
             elif p[-1] in ",." and p[-2:-1].isalnum():  # after a letter or digit a mark is always cut off
                 ended.append(p)
-                if p[:-1] not in known:
+                if not known.get(p[:-1]):
                     plain[p[:-1]] = None
             else:
                 plain[p] = None
-        self.odd.update(odd)
-        for p, ids in zip(odd, self._whole([p if p[:1] == "\n" else " " + p for p in odd]), strict=True):
-            known[p] = ids
-        mark, size, plain = int(np.frombuffer(self._whole(["\n"])[0], self.dtype)[0]), self.dtype.itemsize, list(plain)
-        for at in range(0, len(plain), 1000):
-            some = plain[at : at + 1000]
-            (raw,) = self._whole(["".join([p if p[0] == "\n" else "\n " + p for p in some])])
-            start = np.flatnonzero(np.frombuffer(raw, self.dtype) == mark) * size
-            end = np.r_[start[1:], len(raw)]
-            for p, a, b in zip(some, start.tolist(), end.tolist(), strict=True):
-                known[p] = raw[a if p[0] == "\n" else a + size : b]
+        # with blanks between them only a piece's first token begins with a blank, and only a line's first piece with a line break
+        mark = np.zeros(len(self.blank), bool)
+        mark[np.frombuffer(self._whole(["\n"])[0], self.dtype)] = True
+        size = self.dtype.itemsize
+        found: dict[str, bytes] = {}
+        for pieces, joint, begins in ((list(plain), " ", self.blank), (first, "", mark)):
+            for at in range(0, len(pieces), 1000):
+                some = pieces[at : at + 1000]
+                (raw,) = self._whole([joint + joint.join(some)])
+                start = (np.flatnonzero(begins[np.frombuffer(raw, self.dtype)]) * size).tolist()
+                for p, a, b in zip(some, start, [*start[1:], len(raw)], strict=True):
+                    found[p] = raw[a:b]
         for p in ended:
-            known[p] = known[p[:-1]] + self.tails[p[-1]]
+            found[p] = (found.get(p[:-1]) or known[p[:-1]]) + self.tails[p[-1]]
+        for p, ids in found.items():
+            if p in known:
+                known[p] += ids  # where texts of this batch have it
+            known[p] = ids
+        self.held += sum(map(len, new)) + sum(map(len, found.values())) + _EACH * len(new)
+        new.clear()
+
+    def _aged(self) -> None:
+        if self.held > REMEMBERED:
+            old = self.known
+            old.before = {}
+            self.known, self.held = _Memo(old), 0
 
     def encode(self, texts: list[str | None]) -> list[np.ndarray]:
         """An array of ids for each text; null counts as empty."""
@@ -75,34 +111,30 @@ class Encoder:
         parts: list = [None] * len(texts)
         whole: list[int] = []
         heads: dict[int, str] = {}
-        if len(self.known) > REMEMBERED:
-            self.known.clear()
-            self.odd.clear()
-        seen: set[str] = set()
+        self._aged()
+        get, size = self.known.__getitem__, self.dtype.itemsize
         for k, t in enumerate(texts):
             if not t:
                 out[k] = b""
             elif not self.by_piece or t.isspace() or "<|" in t and any(s in t for s in self.special):
                 whole.append(k)
             else:
-                parts[k] = ("\n" + t).replace("\n", " \n").split(" ")[1:]
-                seen.update(parts[k])
-        self._learn([p for p in seen if p not in self.known])
-        more: set[str] = set()
-        for k, p in enumerate(parts):
-            if p and not self.odd.isdisjoint(p):
-                heads[k], *parts[k] = _CUT(texts[k])
-                more.update(parts[k])
-        self._learn([p for p in more if p not in self.known])
+                p = ("\n" + t).replace("\n", " \n").split(" ")
+                del p[0]
+                parts[k] = list(map(get, p))
+                if None in parts[k]:  # white space that needs another cut
+                    heads[k], *p = _CUT(t)
+                    parts[k] = [(x, get(x)) for x in p]
+        self._learn()
+        odd = [x for k in heads for x, ids in parts[k] if ids is None]
+        odd_ids = iter(self._whole([" " + x for x in odd]) if odd else [])
+        for k, ids in zip(heads, self._whole(list(heads.values())) if heads else [], strict=True):
+            out[k] = ids + b"".join([next(odd_ids) if ids is None else ids for _, ids in parts[k]])
         for k, ids in zip(whole, self._whole([texts[k] for k in whole]) if whole else [], strict=True):
             out[k] = ids
-        lead = dict(zip(heads, self._whole(list(heads.values())) if heads else [], strict=True))
-        get, size = self.known.__getitem__, self.dtype.itemsize
         for k, p in enumerate(parts):
-            if k in lead:
-                out[k] = lead[k] + b"".join(map(get, p))
-            elif p:
-                out[k] = b"".join(map(get, p))[size:]  # without the line break put before the text
+            if out[k] is None:
+                out[k] = b"".join(p)[size:]  # without the line break put before the text
         return [np.frombuffer(b, self.dtype) for b in out]
 
 

@@ -33,6 +33,7 @@ _NAMES = [c.split()[0] for c in SCHEMA.split(", ")]
 
 def cuts(n: int, ends: np.ndarray, sentences: np.ndarray, length: int = 1024, at_sentence: int = 1, elsewhere: int = 2, grid: int = 32) -> list[int]:
     """The best cuts of n ids, 0 and n among them. ends, sentences: ascending positions where a document or a sentence ends."""
+    grid = min(grid, length)
     least = np.full(n + 1, -1, np.int32)
     least[sentences] = at_sentence
     least[ends] = 0
@@ -45,7 +46,7 @@ def cuts(n: int, ends: np.ndarray, sentences: np.ndarray, length: int = 1024, at
         pos = np.flatnonzero(least >= 0)
     penalty, pos = least[pos].tolist(), pos.tolist()
     where = {p: k for k, p in enumerate(pos)}.get
-    powers = [p for p in (32, 64, 128, 256, 512) if p < length]
+    powers = [1 << k for k in range(5, max(5, (length - 1).bit_length()))]
     f, g, back = [0] * len(pos), [0] * len(pos), [0] * len(pos)
     queue: deque[int] = deque()
     for j in range(1, len(pos)):
@@ -74,7 +75,8 @@ class Packer:
     """Takes documents one by one and gives the pieces of the sequences that are settled."""
 
     def __init__(self, ends_sentence: np.ndarray, first_sequence: int, length: int = 1024, horizon: int = 1 << 18, keep: int = 8):
-        self.ends_sentence, self.sequence, self.length, self.horizon, self.keep = ends_sentence, first_sequence, length, horizon, keep
+        # a horizon of many windows, of which the last few may yet be cut otherwise
+        self.ends_sentence, self.sequence, self.length, self.horizon, self.keep = ends_sentence, first_sequence, length, max(horizon, 8 * keep * length), keep
         self.docs: list[tuple[object, np.ndarray, int, int]] = []  # id, ids not yet packed, how many are, how many it has
         self.held = 0
 
@@ -85,14 +87,16 @@ class Packer:
             yield from self._settle(False)
 
     def end(self) -> Iterator[tuple]:
-        if self.held:
+        while self.held:
             yield from self._settle(True)
 
     def _settle(self, last: bool) -> Iterator[tuple]:
-        ids = np.concatenate([d[1] for d in self.docs])
         ends = np.cumsum([len(d[1]) for d in self.docs])
-        most = len(ids) if last else min(len(ids), 2 * self.horizon)
-        best = cuts(most, ends[ends <= most], np.flatnonzero(self.ends_sentence[ids[:most]]) + 1, self.length)
+        most = min(self.held, 2 * self.horizon)
+        last = last and most == self.held
+        some = self.docs[: int(np.searchsorted(ends, most)) + 1]
+        ids = np.concatenate([d[1][:most] for d in some])[:most]
+        best = cuts(most, ends[ends <= most], np.flatnonzero(self.ends_sentence[ids]) + 1, self.length)
         if not last:
             best = best[: -self.keep]
         k = begun = 0
@@ -111,7 +115,7 @@ class Packer:
         if rest and best[-1] > begun:
             doc_id, own, done, total = rest[0]
             rest[0] = (doc_id, own[best[-1] - begun :], done + best[-1] - begun, total)
-        self.docs, self.held = rest, len(ids) - best[-1]
+        self.docs, self.held = rest, self.held - best[-1]
 
 
 def sentence_ends(path: str) -> np.ndarray:
@@ -124,7 +128,8 @@ def pack(docs: DataFrame, tokenizer: str, length: int = 1024, end_id: int = 0) -
     """The pieces of documents in sequences: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset.
 
     tokenizer: path of a tokenizers file on every worker. A null or empty text has end_id alone.
-    Repeated rows are packed as often as they come; a null doc_id stays null. sequence_id is unique
+    Repeated rows are packed as often as they come; a null doc_id stays null; an empty table has no
+    pieces; a text longer than a window is cut as often as it must be. sequence_id is unique
     over the table: partition number times 2^33 plus the sequence's number in it. Only the last
     sequence of a partition may be short for want of documents.
     """

@@ -149,6 +149,33 @@ def test_cuts_are_best(n, data):
     assert best[0] == 0 and best[-1] == n and sum(cost(a, b) for a, b in zip(best, best[1:], strict=False)) == f[n]
 
 
+@pytest.mark.parametrize("length,sizes", [(16, [700, 3, 40, 15, 16, 17]), (1, [5, 1]), (32_768, [32_768] * 40), (65_536, [300_000] * 9 + [5]), (1024, [3_000_000, 12])])
+def test_packer_ends_at_any_length(length, sizes):
+    packer = packing.Packer(np.zeros(10, bool), 0, length)
+    rows = []
+    for k, n in enumerate(sizes):
+        rows += packer.add(k, np.full(n, k % 10, np.uint16))
+    rows += packer.end()
+    at = dict.fromkeys(range(len(sizes)), 0)
+    fill: dict[int, int] = {}
+    for doc, start, n, _, total, sequence, offset in rows:
+        assert start == at[doc] and total == sizes[doc] and n > 0 and offset == fill.get(sequence, 0)
+        at[doc] += n
+        fill[sequence] = offset + n
+    assert list(at.values()) == sizes and max(fill.values()) <= length
+    assert [s for s, n in fill.items() if n & (n - 1) and n < length * 0.9] == [] or len(fill) < 10
+
+
+@pytest.mark.parametrize("held", [1, 3000])
+def test_encoder_forgets(lib, monkeypatch, held):
+    monkeypatch.setattr(encode, "REMEMBERED", held)
+    e = encode.Encoder(BPE)
+    texts = [t for _, t, _ in X.rows()] + ["a  b\tc d.\n\n e f\n", "d. d. d"]
+    for k in range(0, len(texts), 3):
+        some = texts[k : k + 3] + texts[:2]
+        assert [x.tolist() for x in e.encode(some)] == [lib.encode(t or "", add_special_tokens=False).ids for t in some]
+
+
 # 4
 
 
