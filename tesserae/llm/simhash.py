@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tesserae.llm.graph import components
+from tesserae.llm.graph import attached, components, with_lowest
 from tesserae.llm.text import OWN, map_arrow, settled, text_hash, texts_of, width
 
 BITS = 64
@@ -265,29 +265,33 @@ def links(fps: DataFrame, most: int = 4) -> DataFrame:
 
 
 def near_groups(docs: DataFrame, most: int = 4, words: int = 4) -> DataFrame:
-    """(doc_id, th, fp, component_id) of every document; th tells rows with one doc_id apart.
+    """(doc_id, th, fp, component_id, group) of every document; th tells rows with one doc_id apart.
 
     component_id is the smallest doc_id that links of at most ``most`` differing bits reach. Copies
     and repeated rows share a fingerprint and so a component. Texts that are null, empty or without
     words have fingerprint 0 and link as any other. A null doc_id is in its component but can't name it.
+    A text of any length counts whole; an empty table gives an empty one.
     """
     per_doc = settled(fingerprints(docs, words))
-    fps = settled(per_doc.groupBy("fp").agg(F.min("doc_id").alias("low")))
+    total = per_doc.count()
+    fps = settled(per_doc.groupBy("fp").agg(F.min("doc_id").alias("low"), F.count("*").alias("n")))
     parts = components(links(fps, most))
-    named = fps.join(parts.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "low", F.coalesce("component", "fp").alias("part"))
-    low = named.groupBy("part").agg(F.min("low").alias("component_id"))
-    return per_doc.join(named.join(low, "part").select("fp", "component_id"), "fp").select("doc_id", "th", "fp", "component_id")
+    named = fps.join(parts.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "n", "low", F.coalesce("component", "fp").alias("part"))
+    named = with_lowest(named, "part", "low", "component_id", total).select("fp", "n", "part", "component_id")
+    return attached(per_doc, named, "fp", ["component_id", "part"], total).select("doc_id", "th", "fp", "component_id", F.col("part").alias("group"))
 
 
 def one_of_each(docs: DataFrame, most: int = 4, groups: DataFrame | None = None) -> DataFrame:
     """The documents that stay: of each group of near duplicates the one with the smallest doc_id (of rows that share it, one).
 
-    groups: (doc_id, th, component_id) of every document, if not near_groups'.
+    groups: (doc_id, th, component_id, group) of every document, if not near_groups'. A null text is
+    a document without words, and in a group with others like it. A row without a doc_id stays only
+    where its whole group has none. An empty table stays empty.
     """
     keys = [OWN + "id", OWN + "no_id", OWN + "th"]
     # keys that are never null, so that the join's partitioning serves to leave one of repeated rows too
     named = lambda th: [F.coalesce("doc_id", F.lit(0)), F.col("doc_id").isNull(), th]
     stay = (near_groups(docs, most) if groups is None else groups).where(F.col("doc_id").eqNullSafe(F.col("component_id")))
-    stay = stay.groupBy("doc_id", "component_id").agg(F.min("th").alias("th")).select(*[c.alias(k) for c, k in zip(named(F.col("th")), keys, strict=True)])
+    stay = stay.groupBy("doc_id", F.when(F.col("doc_id").isNull(), F.col("group"))).agg(F.min("th").alias("th")).select(*[c.alias(k) for c, k in zip(named(F.col("th")), keys, strict=True)])
     tagged = docs.withColumns(dict(zip(keys, named(text_hash()), strict=True)))
     return tagged.join(stay, keys, "left_semi").dropDuplicates(keys).select(docs.columns)

@@ -6,8 +6,8 @@ fingerprints within ``most`` bits only bring the closest copies together; the ot
 bands of 4 MinHash rows, of which a pair at similarity 0.8 has one in common but for one in 10^7.
 No candidate is linked before both texts' shingles were compared.
 
-A cluster isn't compared pair by pair: first each text with the smallest one of its bands, then only
-those pairs of a band that are still in different components.
+A cluster isn't compared pair by pair: first each text with one of each of its bands (another one in
+every band, by a hash), then only those pairs of a band that are still in different components.
 """
 
 from __future__ import annotations
@@ -17,11 +17,11 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tesserae.llm import simhash
-from tesserae.llm.graph import components
+from tesserae.llm.graph import attached, components, with_lowest
 from tesserae.llm.text import blocks, map_arrow, settled, text_hash, texts_of
 
 BANDS, ROWS = 32, 4
@@ -76,8 +76,12 @@ def _rows(words: int):
 
 
 def _keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Each text of a task once, so that copies aren't sent where their text is wanted."""
+    seen: set[int] = set()
     for b in batches:
-        yield pa.RecordBatch.from_arrays([pa.array([words_hash(words_of(t)) for t in texts_of(b)], pa.int64()), b.column(0)], ["w", "text"])
+        keys = [words_hash(words_of(t)) for t in texts_of(b)]
+        new = [w not in seen and not seen.add(w) for w in keys]
+        yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), b.column(0)], ["w", "text"]).filter(pa.array(new, pa.bool_()))
 
 
 def _sets(words: int):
@@ -103,20 +107,21 @@ def _verified(least: float):
 
 
 def similar_groups(docs: DataFrame, least: float = 0.8, words: int = 5, most: int = 4) -> DataFrame:
-    """(doc_id, th, component_id) of every document, as simhash.near_groups; links are similarities of at least ``least``.
+    """(doc_id, th, component_id, group) of every document, as simhash.near_groups; links are similarities of at least ``least``.
 
     Texts of equal words are one. Texts of up to ``words`` words are one shingle; those without any are copies of each other.
     """
     per_doc = settled(map_arrow(docs.select("doc_id", text_hash().alias("th"), "text"), _rows(words), "doc_id long, th long, w long, fp long, bands array<long>"))
-    texts = settled(per_doc.groupBy("w").agg(F.min("doc_id").alias("low"), F.first("fp").alias("fp"), F.first("bands").alias("bands")))
-    band = Window.partitionBy("band")
-    shared = texts.select("w", F.explode("bands").alias("band")).withColumns({"first": F.min("w").over(band), "last": F.max("w").over(band)})
-    shared = settled(shared.where("first <> last").select("band", "w", "first"))
+    total = per_doc.count()
+    texts = settled(per_doc.groupBy("w").agg(F.min("doc_id").alias("low"), F.count("*").alias("n"), F.first("fp").alias("fp"), F.first("bands").alias("bands")))
+    by_band = texts.select("w", F.explode("bands").alias("band"))
+    first = by_band.groupBy("band").agg(F.min_by("w", F.xxhash64("w", "band")).alias("first"), F.count("*").alias("n")).where("n > 1")
+    shared = settled(attached(by_band, first, "band", ["first"], BANDS * total).where("first is not null"))
 
-    by_fp = settled(texts.groupBy("fp").agg(F.min("w").alias("first")))
+    by_fp = settled(texts.groupBy("fp").agg(F.min("w").alias("first"), F.count("*").alias("n")))
     near = simhash.links(by_fp, most)
     near = near.join(by_fp.select(F.col("fp").alias("a"), F.col("first").alias("x")), "a").join(by_fp.select(F.col("fp").alias("b"), F.col("first").alias("y")), "b")
-    pairs = near.select("x", "y").union(texts.join(by_fp, "fp").select("first", "w")).union(shared.select("first", "w"))
+    pairs = near.select("x", "y").union(attached(texts.select("w", "fp"), by_fp, "fp", ["first"], total).select("first", "w")).union(shared.select("first", "w"))
     pairs = settled(pairs.where("x <> y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct())
 
     ends = pairs.select(F.col("a").alias("w")).union(pairs.select("b")).union(shared.select("w")).distinct()
@@ -124,17 +129,25 @@ def similar_groups(docs: DataFrame, least: float = 0.8, words: int = 5, most: in
     sets = settled(map_arrow(some, _sets(words), "w long, shingles binary"))
 
     def verified(pairs: DataFrame) -> DataFrame:
-        both = pairs.join(sets.select(F.col("w").alias("a"), F.col("shingles").alias("x")), "a").join(sets.select(F.col("w").alias("b"), F.col("shingles").alias("y")), "b")
+        both = with_sets(pairs, sets)
         return settled(map_arrow(both.select("a", "b", "x", "y"), _verified(least), "a long, b long"))
 
+    def with_sets(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+        n = pairs.count()
+        for end, name in (("a", "x"), ("b", "y")):
+            used = pairs.groupBy(F.col(end).alias("w")).agg(F.count("*").alias("n")).join(sets.withColumnRenamed("shingles", name), "w")
+            pairs = attached(pairs, used.withColumnRenamed("w", end), end, [name], n)
+        return pairs
+
     links = verified(pairs)
     part = components(links).withColumnRenamed("node", "w")
     apart = shared.join(part, "w", "left").select("band", "w", F.coalesce("component", "w").alias("part"))
-    apart = settled(apart.withColumns({"first": F.min("part").over(band), "last": F.max("part").over(band)}).where("first <> last").select("band", "w", "part"))
+    kinds = apart.groupBy("band").agg(F.min("part").alias("first"), F.max("part").alias("last"), F.count("*").alias("n")).where("first <> last")
+    apart = settled(attached(apart, kinds, "band", ["first"], BANDS * total).where("first is not null").select("band", "w", "part"))
     other = apart.select("band", F.col("w").alias("b"), F.col("part").alias("of"))
     rest = apart.withColumnRenamed("w", "a").join(other, "band").where("a < b and part <> of").select("a", "b").distinct().join(pairs, ["a", "b"], "left_anti")
     part = components(links.union(verified(rest)))
 
-    named = texts.join(part.withColumnRenamed("node", "w"), "w", "left").select("w", "low", F.coalesce("component", "w").alias("part"))
-    low = named.groupBy("part").agg(F.min("low").alias("component_id"))
-    return per_doc.join(named.join(low, "part").select("w", "component_id"), "w").select("doc_id", "th", "component_id")
+    named = texts.join(part.withColumnRenamed("node", "w"), "w", "left").select("w", "n", "low", F.coalesce("component", "w").alias("part"))
+    named = with_lowest(named, "part", "low", "component_id", total).select("w", "n", "part", "component_id")
+    return attached(per_doc.select("doc_id", "th", "w"), named, "w", ["component_id", "part"], total).select("doc_id", "th", "component_id", F.col("part").alias("group"))

@@ -248,6 +248,23 @@ def test_covering():
     assert all((np.bitwise_count(s[s >= 0] ^ v[s >= 0]) == 2).all() and np.isin(s[s >= 0], near).all() for s in seconds)
 
 
+def test_star_is_no_hot_key(spark):
+    n = 100_000
+    star = spark.range(1, n).select(F.lit(0).cast("long").alias("a"), F.col("id").alias("b"))
+    out = graph.components(star)
+    assert out.count() == n and out.where("component <> 0").count() == 0
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        tagged = graph.with_lowest(star, "a", "b", "low", n - 1)
+        assert tagged.where("low = 1").count() == n - 1
+        sizes = [len(x) for x in tagged.select("b").rdd.glom().collect()]
+        assert max(sizes) < 2 * n / 4
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
 def test_components_of_a_path(spark):
     links = spark.createDataFrame([(k, k + 1) for k in range(100)] + [(200, 201), (7, 7)], "a long, b long")
     out = {r.node: r.component for r in graph.components(links).collect()}
@@ -333,7 +350,7 @@ def test_prefix_scan_composes():
 # 7
 
 
-def test_embeddings(spark):
+def test_embeddings(spark, monkeypatch):
     r = np.random.default_rng(5)
     base = r.normal(size=(30, 16))
     rows = [(k, (base[k % 30] + (r.normal(size=16) * 0.03 if k >= 30 else 0)).astype(np.float32).tolist(), k % 3) for k in range(200)]
@@ -352,14 +369,38 @@ def test_embeddings(spark):
     for _ in links:
         low = {d: min([low[d], *(low[e] for e in links[d])]) for d in links}
     want = Counter((d, len(links[d]), low[d], low[d] == d) for d in links)
-    for size in (embed_dedup.BLOCK, 40):
-        embed_dedup.BLOCK = size
+    plain = embed_dedup.pivots
+    for homes, members, per_cell in ((4096, 16_384, 1024), (40, 60, 1024), (30, 17, 9)):
+        monkeypatch.setattr(embed_dedup, "HOMES", homes)
+        monkeypatch.setattr(embed_dedup, "MEMBERS", members)
+        monkeypatch.setattr(embed_dedup, "pivots", lambda g, kind, n=per_cell: plain(g, kind, per_cell=n))
         assert got(embed_dedup.near_groups(df), "vec_id", "n_links", "component_id", "kept") == want
-    embed_dedup.BLOCK = 2048
     groups = df.limit(0)
     assert embed_dedup.near_groups(groups).count() == 0
 
 
+def test_embeddings_of_other_types(spark):
+    rows = [(1, [1e300, 1e300], 1.2), (2, [1e300, 1e300], 1.2), (3, [1e300, 1e300], 1.5), (4, [1.0, 1.0 + 1e-12], 1.5), (5, [3e-310, 3e-310], 1.5), (7, [1.0, -1.0], 1.2), (7, [1.0, -1.0], 1.2), (7, [1.0, 1.0], 1.2), (None, [1.0, 1.0], 1.2), (8, [-0.0, 1.0], -0.0), (9, [0.0, 1.0], 0.0)]
+    want = Counter([(1, 3, 1, True), (2, 3, 1, False), (7, 3, 1, False), (None, 3, 1, False), (3, 2, 3, True), (4, 2, 3, False), (5, 2, 3, False), (7, 1, 7, True), (7, 1, 7, True), (8, 1, 8, True), (9, 1, 8, False)])
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label double")
+    assert got(embed_dedup.near_groups(df), "vec_id", "n_links", "component_id", "kept") == want
+    text = df.where("vec_id < 6").withColumn("label", F.concat(F.lit("l/"), F.col("label").cast("string")))
+    assert got(embed_dedup.near_groups(text), "vec_id", "n_links") == Counter([(1, 1), (2, 1), (3, 2), (4, 2), (5, 2)])
+    assert embed_dedup.near_groups(df.withColumn("label", F.lit(None).cast("string"))).where("n_links > 0 or component_id <> vec_id").count() == 0
+
+
+def test_reach_loses_no_neighbour():
+    r = np.random.default_rng(3)
+    for size, spread in ((2, 1.0), (5, 0.5), (64, 1.0)):
+        v = r.normal(size=(400, size)) * spread + r.normal(size=(8, size)).repeat(50, 0)
+        v = np.concatenate([v, v + r.normal(size=v.shape) * 0.05])
+        v /= np.linalg.norm(v, axis=1, keepdims=True)
+        p = np.concatenate([v[:40:2], v[:1]])
+        home, _, near = embed_dedup.reach(v, p, 0.2)
+        i, j = np.nonzero(v @ v.T >= 1 - 0.2**2 / 2)
+        assert len(i) > 1000 and near[i, home[j]].all()
+
+
 # 8
 
 
