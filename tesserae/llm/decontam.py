@@ -5,22 +5,25 @@ some item. A training text is streamed through it word by word, and at each word
 longest run that ends there and occurs in an item is known. A run of ``window`` words, or a whole
 item that is shorter, is a hit, and all its words are hit words.
 
-The benchmark is read in shards of at most ``shard_words`` words (an item longer than that is a
-shard of its own), so what is sent to executors at once has a bound; with more than one shard the
-documents are streamed once and pass through the automata one after the other.
+The benchmark is dealt into shards of about ``shard_words`` words; a long item is cut into pieces that
+share ``window`` - 1 words, so that no run is lost. One shard at a time is collected, broadcast and
+streamed against, and given up before the next: neither the driver nor a worker holds more, however
+large the benchmark is. With one shard documents come back as they are streamed; with more each pass
+writes the hits of its shard alone, and these are brought together by document at the end.
 """
 
 from __future__ import annotations
 
-import hashlib
+import functools
 import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
-from tesserae.llm.text import blocks, ddl, map_arrow, with_columns
+from tesserae.llm.text import OWN, blocks, ddl, map_arrow, settled, shared_path, text_hash, with_columns
 
 #: [^\x00-\x2F\x3A-\x60\x7B-\x7F] after lower-casing A-Z: digits, a-z and every byte of a character beyond ASCII.
 _WORD = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
@@ -127,22 +130,46 @@ class Automaton:
         return spans, found
 
 
-def shards(benchmark: DataFrame, shard_words: int = 2_000_000, item_id: str = "item_id") -> Iterator[list[tuple[object, list[bytes]]]]:
-    part: list[tuple[object, list[bytes]]] = []
-    n = 0
-    for r in benchmark.select(item_id, "text").toLocalIterator():
-        w = words_of(r[1])
-        if part and n + len(w) > shard_words:
-            yield part
-            part, n = [], 0
-        if w:
-            part.append((r[0], w))
-            n += len(w)
-    if part:
-        yield part
+def _pieces(window: int, most: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            ids, texts, sizes = [], [], []
+            for item, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                w = words_of(t)
+                for at in range(0, max(1, len(w) - window + 1), most) if w else ():
+                    part = w[at : at + most + window - 1]
+                    ids.append(item)
+                    texts.append(b" ".join(part))
+                    sizes.append(len(part))
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.string()), pa.array(texts, pa.binary()), pa.array(sizes, pa.int64())], ["item", "words", "n"])
+
+    return run
+
+
+class Shards:
+    """The benchmark's items in shards: how many, and each as a list of (item, words)."""
+
+    def __init__(self, benchmark: DataFrame, window: int, shard_words: int, item_id: str = "item_id"):
+        pieces = map_arrow(benchmark.select(F.col(item_id).cast("string").alias("item"), "text"), _pieces(window, max(1, shard_words // 16)), "item string, words binary, n long")
+        self.pieces = settled(pieces.distinct())
+        total = self.pieces.agg(F.sum("n")).first()[0] or 0
+        # dealt by a hash, so some room is left for shards above the mean
+        self.count = 1 if total <= shard_words else -(-5 * total // (4 * shard_words))
 
+    def __getitem__(self, k: int) -> list[tuple[str | None, list[bytes]]]:
+        rows = self.pieces.where(F.pmod(F.xxhash64("words", "item"), F.lit(self.count)) == k).select("item", "words").collect()
+        return sorted(((r[0], bytes(r[1]).split()) for r in rows), key=lambda x: (x[0] is not None, x[0] or "", x[1]))
 
-_BUILT: dict[tuple[str, int], Automaton] = {}
+
+#: The one automaton that a worker holds.
+_BUILT: dict[str, Automaton] = {}
+
+
+def _machine(name: str, shared, window: int) -> Automaton:  # noqa: ANN001
+    if name not in _BUILT:
+        _BUILT.clear()
+        _BUILT[name] = Automaton(shared.value, window)
+    return _BUILT[name]
 
 
 def _merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -155,49 +182,91 @@ def _merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out
 
 
+_SPANS = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
+_FOUND = f"{OWN}n long, {OWN}hits array<struct<start:int,end:int>>, {OWN}items array<string>"
+
+
+def _scanned(docs: DataFrame, items: list, window: int, only_hits: bool):  # noqa: ANN202
+    """docs with the number of words, hit spans and ids of items of one shard, and the broadcast to be given up afterwards."""
+    shared, name = docs.sparkSession.sparkContext.broadcast(items), uuid.uuid4().hex
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        machine = _machine(name, shared, window)
+        for batch in batches:
+            for block in blocks(batch):
+                n, spans, ids = [], [], []
+                for t in block.column(block.schema.get_field_index("text")).to_pylist():
+                    w = words_of(t)
+                    got, found = machine.scan(w)
+                    n.append(len(w))
+                    spans.append(got)
+                    ids.append(sorted({machine.ids[i] for i in found} - {None}))
+                more = {
+                    OWN + "n": pa.array(n, pa.int64()),
+                    OWN + "hits": pa.array([[{"start": a, "end": b} for a, b in s] for s in spans], _SPANS),
+                    OWN + "items": pa.array(ids, pa.list_(pa.string())),
+                }
+                out = with_columns(block, **more)
+                if only_hits:
+                    out = out.select([c for c in out.schema.names if c != "text"]).filter(pa.array([bool(s) for s in spans], pa.bool_()))
+                yield out
+
+    return map_arrow(docs, run, f"{ddl(docs, *['text'] * only_hits)}, {_FOUND}"), shared
+
+
+def _hits(docs: DataFrame, shards: Shards, window: int) -> DataFrame:
+    """docs with the three columns of _FOUND, over all shards."""
+    if shards.count == 1:
+        return _scanned(docs, shards[0], window, False)[0]
+    spark = docs.sparkSession
+    names = docs.columns
+    keyed = docs.select("doc_id", "text", text_hash().alias("th"))
+    path = shared_path(spark, "hits")
+    for k in range(shards.count):
+        found, shared = _scanned(keyed, shards[k], window, True)
+        found.write.mode("append").parquet(path)
+        shared.destroy()
+    all_ = spark.read.parquet(path).select("doc_id", "th", F.col(OWN + "hits").alias("h"), F.col(OWN + "items").alias("i"))
+    # a document's words bound what comes together here
+    spans = all_.groupBy(F.coalesce("doc_id", F.lit(0)).alias(OWN + "a"), F.col("doc_id").isNull().alias(OWN + "b"), F.col("th").alias(OWN + "c"))
+    spans = spans.agg(F.array_sort(F.flatten(F.collect_set("h"))).alias(OWN + "hits"), F.array_distinct(F.flatten(F.collect_set("i"))).alias(OWN + "items"))
+    tagged = docs.withColumns({OWN + "a": F.coalesce("doc_id", F.lit(0)), OWN + "b": F.col("doc_id").isNull(), OWN + "c": text_hash()})
+    joined = tagged.join(spans, [OWN + "a", OWN + "b", OWN + "c"], "left").select(*names, OWN + "hits", OWN + "items")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for block in blocks(batch):
+                column = lambda c, b=block: b.column(b.schema.get_field_index(c)).to_pylist()
+                spans = [[{"start": a, "end": b} for a, b in _merged([(x["start"], x["end"]) for x in h or ()])] for h in column(OWN + "hits")]
+                more = {
+                    OWN + "n": pa.array([len(words_of(t)) for t in column("text")], pa.int64()),
+                    OWN + "hits": pa.array(spans, _SPANS),
+                    OWN + "items": pa.array([i or [] for i in column(OWN + "items")], pa.list_(pa.string())),
+                }
+                yield with_columns(block, **more)
+
+    return map_arrow(joined, run, f"{ddl(docs)}, {_FOUND}")
+
+
 def scan(docs: DataFrame, benchmark: DataFrame, window: int = 10, shard_words: int = 2_000_000) -> DataFrame:
     """docs with n_words, n_hit, n_items, items_sha256 and hits (array of word spans) added; columns of these names are replaced.
 
     A null or empty text has no words and no hit, an item without words is in nothing. Items that
     repeat count by their id, once; items with a null id mark words but aren't counted. With an
-    empty benchmark nothing is hit.
+    empty benchmark nothing is hit. Repeated rows get equal results, a text of any length is scanned
+    whole, and an empty table gives an empty one.
     """
-    sc = docs.sparkSession.sparkContext
-    shared = [sc.broadcast(s) for s in shards(benchmark, shard_words)]
-    call = uuid.uuid4().hex
-    names = ["n_words", "n_hit", "n_items", "items_sha256", "hits"]
-    base = docs.drop(*names)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for block in blocks(batch):
-                texts = block.column(block.schema.get_field_index("text")).to_pylist()
-                split = [words_of(t) for t in texts]
-                spans: list[list[tuple[int, int]]] = [[] for _ in texts]
-                ids: list[set] = [set() for _ in texts]
-                for n, b in enumerate(shared):
-                    if (call, n) not in _BUILT:
-                        if any(c != call for c, _ in _BUILT):
-                            _BUILT.clear()
-                        _BUILT[call, n] = Automaton(b.value, window)
-                    machine = _BUILT[call, n]
-                    for k, w in enumerate(split):
-                        got, items = machine.scan(w)
-                        if got:
-                            spans[k] += got
-                            ids[k] |= {machine.ids[i] for i in items}
-                spans = [_merged(s) if len(shared) > 1 else s for s in spans]
-                ids = [i - {None} for i in ids]
-                yield with_columns(
-                    block,
-                    n_words=pa.array([len(w) for w in split], pa.int64()),
-                    n_hit=pa.array([sum(b - a for a, b in s) for s in spans], pa.int64()),
-                    n_items=pa.array([len(i) for i in ids], pa.int64()),
-                    items_sha256=pa.array([hashlib.sha256(",".join(sorted(map(str, i))).encode()).hexdigest() for i in ids]),
-                    hits=pa.array([[{"start": a, "end": b} for a, b in s] for s in spans], pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))),
-                )
-
-    return map_arrow(base, run, f"{ddl(base)}, n_words long, n_hit long, n_items long, items_sha256 string, hits array<struct<start:int,end:int>>")
+    base = docs.drop("n_words", "n_hit", "n_items", "items_sha256", "hits")
+    found = _hits(base, Shards(benchmark, window, shard_words), window)
+    hits = F.col(OWN + "hits")
+    return found.select(
+        *base.columns,
+        F.col(OWN + "n").alias("n_words"),
+        F.aggregate(hits, F.lit(0).cast("long"), lambda n, x: n + x["end"] - x["start"]).alias("n_hit"),
+        F.size(OWN + "items").cast("long").alias("n_items"),
+        F.sha2(F.array_join(F.array_sort(OWN + "items"), ","), 256).alias("items_sha256"),
+        hits.alias("hits"),
+    )
 
 
 def cut(text: str, spans: list[tuple[int, int]]) -> str:
@@ -213,18 +282,46 @@ def cut(text: str, spans: list[tuple[int, int]]) -> str:
     return b"".join([*out, raw[at:]]).decode("utf-8", "surrogatepass")
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = 10, most_share: float = 0.5) -> DataFrame:
+def _cut_all(docs: DataFrame, most_share: float | None) -> DataFrame:
+    """docs (with _FOUND) with hit spans cut out, and without those of which more than most_share is hit; _FOUND goes."""
+    names = [c for c in docs.columns if c not in (OWN + "n", OWN + "hits", OWN + "items")]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for block in blocks(batch):
+                column = lambda c, b=block: b.column(b.schema.get_field_index(c)).to_pylist()
+                texts, stays = [], []
+                for t, n, hits in zip(column("text"), column(OWN + "n"), column(OWN + "hits"), strict=True):
+                    spans = [(h["start"], h["end"]) for h in hits]
+                    stays.append(most_share is None or sum(b - a for a, b in spans) <= most_share * n)
+                    texts.append(cut(t, spans) if spans and stays[-1] else t)
+                yield with_columns(block, text=pa.array(texts, pa.string())).select(names).filter(pa.array(stays, pa.bool_()))
+
+    return map_arrow(docs, run, ddl(docs.select(names)))
+
+
+def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = 10, most_share: float = 0.5, shard_words: int = 2_000_000) -> DataFrame:
     """docs without what occurs in the benchmark: hit spans are cut out of text, and a document of which more than ``most_share`` is hit goes.
 
     Where a cut brings together words that make a hit again, that is cut too, until none is left.
-    Documents without a hit, null texts among them, come back as they are.
+    Documents without a hit, null texts among them, come back as they are; repeated rows share their
+    fate; with an empty benchmark, or of an empty table, all stays as it is.
     """
     names = list(docs.columns)
-    sc = docs.sparkSession.sparkContext
-    shared = [sc.broadcast(s) for s in shards(benchmark)]
+    shards = Shards(benchmark, window, shard_words)
+    if shards.count > 1:  # rounds over what was cut in the one before
+        done, todo, share = [], docs, most_share
+        while True:
+            found = settled(_hits(todo, shards, window))
+            done.append(found.where(F.size(OWN + "hits") == 0).select(names))
+            hit = found.where(F.size(OWN + "hits") > 0)
+            if hit.isEmpty():
+                return functools.reduce(DataFrame.union, done)
+            todo, share = _cut_all(hit, share).select(names), None
+    shared, name = docs.sparkSession.sparkContext.broadcast(shards[0]), uuid.uuid4().hex
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        machines = [Automaton(b.value, window) for b in shared]
+        machine = _machine(name, shared, window)
         for batch in batches:
             for block in blocks(batch):
                 texts = block.column(block.schema.get_field_index("text")).to_pylist()
@@ -232,7 +329,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = 10, most_
                 for k, t in enumerate(texts):
                     first = True
                     while words := words_of(t):
-                        spans = _merged([x for m in machines for x in m.scan(words)[0]])
+                        spans = machine.scan(words)[0]
                         if not spans:
                             break
                         if first and sum(b - a for a, b in spans) > most_share * len(words):

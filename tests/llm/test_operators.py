@@ -59,9 +59,21 @@ def test_decontamination(spark, shard_words):
     assert got(out, "doc_id", "n_words", "n_hit", "n_items", "items_sha256") == Counter((d, *brute_hits(t, X.BENCHMARK)) for d, t, _ in X.rows())
 
 
-def test_decontaminate_cuts_all(spark):
+def test_shards_have_a_bound(spark):
+    long = " ".join(f"w{k}" for k in range(5000))
+    items = spark.createDataFrame([(k, f"{long} {k}") for k in range(3)] + [(9, "short one")], "item_id long, text string")
+    shards = decontam.Shards(items, 10, 800)
+    sizes = [sum(len(w) for _, w in shards[k]) for k in range(shards.count)]
+    assert len(sizes) > 15 and max(sizes) < 2000 and sum(sizes) < 17_500 * 1.2
+    runs = {(i, tuple(w[a : a + 10])) for k in range(shards.count) for i, w in shards[k] for a in range(len(w) - 9)}
+    words = decontam.words_of(long)
+    assert all(("1", tuple([*words, b"1"][a : a + 10])) in runs for a in range(4992))
+
+
+@pytest.mark.parametrize("shard_words", [2_000_000, 5])
+def test_decontaminate_cuts_all(spark, shard_words):
     docs = X.documents(spark)
-    out = decontam.decontaminate(docs, X.benchmark(spark))
+    out = decontam.decontaminate(docs, X.benchmark(spark), shard_words=shard_words)
     assert out.columns == docs.columns
     texts = {r.doc_id: r.text for r in out.collect()}
     assert 71 not in texts and 72 not in texts and X.PASSAGE not in texts[70] and len(texts[70]) > 100
