@@ -125,53 +125,32 @@ def _bitmap(n_lines, drops):  # noqa: ANN001, ANN202
     return pd.Series(out)
 
 
-def lines_hash() -> Column:
-    """Of the whole sequence of a text's line keys."""
-    return F.xxhash64(F.array_join(F.transform(F.split(F.coalesce("text", F.lit("")), "\n", -1), line_key), "\n"))
-
-
-def without_copied_lines(gone: DataFrame, docs: DataFrame, min_docs: int, min_chars: int) -> DataFrame:
-    """gone without lines of copies that are common only because of copies: in fewer than ``min_docs`` different sequences of lines.
-
-    A copy is a document whose sequence of line keys another doc_id has too.
-    """
-    rows = docs.select(F.col("doc_id").alias("copy_id"), text_hash().alias("copy_th"), lines_hash().alias("seq")).distinct()
-    copies = settled(rows.join(rows.groupBy("seq").agg(F.count_distinct(F.struct("copy_id")).alias("n")).where("n > 1").select("seq"), "seq"))
-    widely = dropped_lines(docs.select(lines_hash().alias("doc_id"), "text"), min_docs, min_chars)
-    widely = widely.select(F.col("doc_id").alias("seq"), "pos").distinct().withColumn("widely", F.lit(True))
-    known = gone.join(copies, F.col("doc_id").eqNullSafe(F.col("copy_id")) & (F.col("th") == F.col("copy_th")), "left")
-    return known.join(widely, ["seq", "pos"], "left").where("seq is null or widely").select("doc_id", "th", "pos")
-
-
-def keep_bitmaps(docs: DataFrame, min_docs: int = 10, min_chars: int = 1, keep_first: bool = False, spare_copies: bool = False) -> DataFrame:
+def keep_bitmaps(docs: DataFrame, min_docs: int = 10, min_chars: int = 1, keep_first: bool = False) -> DataFrame:
     """(doc_id, th, n_dropped, keep) for each document that loses lines.
 
     keep: a bit per line, the first line in the highest bit of the first byte, zstandard-compressed;
     the last byte is padded with ones. th: text_hash() of the text.
     """
     gone = dropped_lines(docs, min_docs, min_chars, keep_first)
-    if spare_copies:
-        gone = without_copied_lines(gone, docs, min_docs, min_chars)
-    gone = gone.groupBy("doc_id", "th").agg(F.collect_list("pos").alias("drops"))
+    gone = gone.groupBy("doc_id", "th").agg(F.collect_set("pos").alias("drops"))
     last = F.array_max("drops") + 1
     ship(docs.sparkSession)
     return gone.select("doc_id", "th", F.size("drops").cast("long").alias("n_dropped"), _bitmap(((last + 7) / 8).cast("int") * 8, "drops").alias("keep"))
 
 
-def dedup_lines(docs: DataFrame, min_docs: int = 10, min_chars: int = 1, keep_first: bool = False, spare_copies: bool = False) -> DataFrame:
+def dedup_lines(docs: DataFrame, min_docs: int = 10, min_chars: int = 1, keep_first: bool = False) -> DataFrame:
     """docs with the lines found in at least ``min_docs`` documents taken out of text, and n_lines, n_dropped, kept_sha256 added.
 
     A line's key is the line without blanks at its ends and with A-Z lower-cased; keys of fewer
     than ``min_chars`` code points always stay. keep_first leaves each such line where it stands
-    first (smallest document, then position). spare_copies leaves copies (documents with one and
-    the same sequence of keys) the lines that are common only because of copies, in fewer than
-    ``min_docs`` different sequences; in all other documents these lines go. A null or empty text is
-    one empty line and stays as it is. Documents are told apart by doc_id: rows that share one count
-    once. Columns named n_lines, n_dropped or kept_sha256 are replaced.
+    first (smallest document, one without an id before all others, then position). A null or empty
+    text is one empty line and stays as it is. Documents are told apart by doc_id: rows that share one count
+    once, and repeated rows lose the same lines. A text of any length is read whole, and an empty
+    table gives an empty one. Columns named n_lines, n_dropped or kept_sha256 are replaced.
     """
     base = docs.drop("n_lines", "n_dropped", "kept_sha256")
     own = {c: OWN + c for c in ("d", "h", "n", "keep")}
-    maps = keep_bitmaps(docs, min_docs, min_chars, keep_first, spare_copies).select(
+    maps = keep_bitmaps(docs, min_docs, min_chars, keep_first).select(
         F.col("doc_id").alias(own["d"]), F.col("th").alias(own["h"]), F.col("n_dropped").alias(own["n"]), F.col("keep").alias(own["keep"])
     )
     tagged = base.withColumn(OWN + "th", text_hash())
@@ -201,3 +180,15 @@ def dedup_lines(docs: DataFrame, min_docs: int = 10, min_chars: int = 1, keep_fi
                 yield out.select(names)
 
     return map_arrow(joined, run, f"{ddl(base)}, n_lines long, n_dropped long, kept_sha256 string")
+
+
+def without_common_lines(docs: DataFrame, min_docs: int = 10, min_chars: int = 1) -> DataFrame:
+    """docs where of each line in at least ``min_docs`` documents only the first is left, without those that lost lines and have no text left.
+
+    Other documents, null and empty texts among them, come back as they are.
+    """
+    made = ("n_lines", "n_dropped", "kept_sha256")
+    own = {c: OWN + c for c in made if c in docs.columns}
+    found = dedup_lines(docs.withColumnsRenamed(own), min_docs, min_chars, keep_first=True)
+    found = found.where((F.col("n_dropped") == 0) | (F.length(F.btrim("text", F.lit(BLANKS))) > 0))
+    return found.drop(*made).withColumnsRenamed({v: k for k, v in own.items()}).select(docs.columns)

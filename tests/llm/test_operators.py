@@ -441,6 +441,12 @@ def test_line_dedup(spark, parts):
         spark.conf.set("spark.sql.shuffle.partitions", 4)
 
 
+def test_bitmaps_of_repeated_rows(spark):
+    rows = [(k, "common\nown " + str(k)) for k in range(10)] * 2
+    maps = line_dedup.keep_bitmaps(spark.createDataFrame(rows, "doc_id long, text string"), min_docs=10).collect()
+    assert len(maps) == 10 and {m.n_dropped for m in maps} == {1}
+
+
 @pytest.mark.parametrize("parts", [1, 60])
 def test_line_dedup_keeps_first(spark, parts):
     key, gone = brute_lines(10)

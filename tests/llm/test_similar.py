@@ -6,6 +6,8 @@ import random
 from collections import Counter
 
 import corpus_pipeline
+import pytest
+
 from tesserae.llm import similar
 
 
@@ -41,7 +43,9 @@ def rows():
     return list(enumerate(texts))
 
 
-def test_groups_equal_brute_force(spark):
+@pytest.mark.parametrize("block", [1024, 3])
+def test_groups_equal_brute_force(spark, monkeypatch, block):
+    monkeypatch.setattr(similar, "BLOCK", block)
     docs = spark.createDataFrame(rows(), "doc_id long, text string").repartition(3)
     got = {r.doc_id: r.component_id for r in similar.similar_groups(docs).collect()}
     assert [got[d] for d, _ in rows()] == brute(rows())
