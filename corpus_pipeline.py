@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from tesserae.llm import decontam, lang_id, line_dedup, packing, simhash, similar
 from tesserae.llm.queries import tokenizer
-from tesserae.llm.text import documents, shared_path
+from tesserae.llm.text import documents, removed, shared_path
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -23,13 +23,12 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Takes lines that stand in ten documents or more out of all of them.
+    """Leaves of a line that stands in ten documents or more the first one, and drops documents that have nothing left.
 
-    Only copies, documents of the same sequence of lines, keep those of their lines that fewer than ten
-    different sequences have: such lines are common because the document is, and the next stage leaves
-    one of the copies.
+    The first is that of the smallest doc_id, so of ten copies and more one stays whole and the others
+    go with their lines. Documents that lose no line come back as they are.
     """
-    return line_dedup.dedup_lines(docs, min_docs=10, min_chars=1, spare_copies=True).select(docs.columns)
+    return line_dedup.without_common_lines(docs, min_docs=10, min_chars=1)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -60,10 +59,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages, each read back from what the one before wrote."""
-    docs = documents(spark, sf_dir)
+    """All stages, each read back from what the one before wrote; a stage's folder goes once the next has been written."""
+    docs, before = documents(spark, sf_dir), None
     for name, stage in STAGES:
         path = shared_path(spark, f"pipeline-{name}")
         stage(spark, docs, sf_dir).write.parquet(path)
-        docs = spark.read.parquet(path)
+        if before:
+            removed(spark, before)
+        docs, before = spark.read.parquet(path), path
     return docs
