@@ -176,12 +176,12 @@ class Scanner:
 
     def _lows(self, hashes: np.ndarray, block: int, only: int) -> np.ndarray:
         """The least value of each of the first ``only`` hash functions over blocks of as many shingles; the last may be short."""
-        out = np.empty((-(-len(hashes) // block), only), np.uint32)
-        step = max(1, 4096 // block)
-        for at in range(0, len(out), step):
-            part = hashes[at * block : (at + step) * block, None] * self.mix[:only] + self.shift[:only]
-            out[at : at + step] = np.minimum.reduceat(part, np.arange(0, len(part), block), axis=0)
-        return out
+        n = -(-len(hashes) // block)
+        whole = np.r_[hashes, np.full(n * block - len(hashes), hashes[-1])].reshape(n, block)  # a shingle twice changes no minimum
+        low = whole[:, :1] * self.mix[:only] + self.shift[:only]
+        for j in range(1, block):
+            np.minimum(low, whole[:, j : j + 1] * self.mix[:only] + self.shift[:only], out=low)
+        return low
 
     def _keys(self, hashes: np.ndarray, w: int, step: int, lows: np.ndarray | None = None) -> np.ndarray:
         """[window, band] keys of the windows of w shingles that begin at every ``step``-th; a text shorter than that is one window."""
@@ -212,7 +212,8 @@ class Scanner:
             if w >= 8:  # blocks of a longer window are pairs of those of a shorter one
                 low, have = (self._lows(hashes, step, self.bands * self.rows), step) if low is None else (low, have)
                 while have < step:
-                    low = np.minimum.reduceat(low, np.arange(0, len(low), 2), axis=0)
+                    odd = low[len(low) & ~1 :]
+                    low = np.concatenate([np.minimum(low[: len(low) & ~1 : 2], low[1::2]), odd])
                     have *= 2
             mine = self._keys(hashes, w, step, low if w >= 8 else None)
             near = np.nonzero(few[mine >> np.uint64(44)])
