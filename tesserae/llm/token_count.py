@@ -17,6 +17,7 @@ States are compiled when first met and kept.
 from __future__ import annotations
 
 import json
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -188,7 +189,7 @@ class Pieces:
         return found
 
     def compile(self, state: int, byte: int) -> int:
-        """Adds the transition; its value is the next state times 256 plus 128 plus the change of the count."""
+        """Adds the transition; its value is the next state times 2^16 plus 2^15 plus the change of the count."""
         live, ends = [], None
         for node, last, count in self.states[state]:
             to = self.trie[node].get(byte)
@@ -204,7 +205,13 @@ class Pieces:
         k = self.number.setdefault(new, len(self.states))
         if k == len(self.states):
             self.states.append(new)
-        self.step[state << 8 | byte] = out = k << 8 | 128 + change
+        if k >= self.most_states:  # all are forgotten but the one that is due, even within a piece
+            self._clear()
+            k = self.number.setdefault(new, len(self.states))
+            if k == len(self.states):
+                self.states.append(new)
+            return k << 16 | 32768 + change
+        self.step[state << 8 | byte] = out = k << 16 | 32768 + change
         return out
 
     def count(self, piece: bytes) -> int:
@@ -213,10 +220,8 @@ class Pieces:
             v = step(s << 8 | b)
             if v is None:
                 v = self.compile(s, b)
-            s = v >> 8
-            n += (v & 255) - 128
-        if len(self.states) > self.most_states:
-            self._clear()
+            s = v >> 16
+            n += (v & 65535) - 32768
         return n
 
 
@@ -242,6 +247,7 @@ class Counter:
         self.special = [t["content"] for t in told.get("added_tokens", []) if t["content"]]
         if any(t.get("lstrip") or t.get("rstrip") or t.get("single_word") for t in told.get("added_tokens", [])):
             raise ValueError(f"{path} has special tokens that take what is beside them")
+        self.marks = re.compile("|".join(map(re.escape, sorted(self.special, key=len, reverse=True)))) if self.special else None
         vocabulary = {raw(t): k for t, k in model["vocab"].items() if t not in self.special}
         pairs = [m.split(" ") if isinstance(m, str) else m for m in model["merges"]]
         self.pieces = Pieces(vocabulary, [(raw(a), raw(b)) for a, b in pairs])
@@ -254,17 +260,12 @@ class Counter:
         parts, edges, resets, at = [], np.zeros(len(texts) + 1, np.int64), [], 0
         for k, t in enumerate(texts):
             if any(s in t for s in self.special):
-                spans, rest = [], t
-                while hits := [(p, -len(s), s) for s in self.special if (p := rest.find(s)) >= 0]:
-                    p, _, s = min(hits)
-                    spans.append(rest[:p])
-                    rest = rest[p + len(s) :]
+                *spans, t = self.marks.split(t)  # the first that begins, of several the longest
                 extra[k] = len(spans)
                 for s in spans:
                     at += len(s) + 1
                     parts.append(s)
                     resets.append(at - 1)
-                t = rest
             parts.append(t)
             at += len(t) + 1
             resets.append(at - 1)
@@ -295,7 +296,8 @@ def count_tokens(docs: DataFrame, tokenizer: str, limit: int = 512) -> DataFrame
     """doc_id, n_bytes, n_tokens, over_limit (n_tokens > limit) of every document.
 
     tokenizer: path of a byte-level BPE file on every worker. A null or empty text has no bytes and
-    no tokens. Repeated rows and null ids are counted as they come.
+    no tokens. Repeated rows and null ids are counted as they come; a text of any length is counted
+    whole, and an empty table gives an empty one.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -374,6 +374,15 @@ def test_counter_and_encoder_equal_the_library(texts):
     assert [x.tolist() for x in encode.encoder(BPE).encode(texts)] == whole
 
 
+def test_counter_with_few_states_and_many_marks(lib):
+    c = token_count.Counter(BPE)
+    c.pieces.most_states = 50
+    r = random.Random(2)
+    texts = ["".join(r.choices("abcdefghijklmnopqrstuvwxyz", k=5000)), "<|endoftext|>" * 20_000 + "x<|endoftext|", "a" * 4000 + "é" * 300]
+    assert c.count(texts).tolist() == [len(lib.encode(t, add_special_tokens=False).ids) for t in texts]
+    assert len(c.pieces.states) <= 51
+
+
 def test_prefix_scan_composes():
     r = np.random.default_rng(1)
     c = token_count.Cutter(chunk=4)
