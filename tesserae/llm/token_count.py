@@ -159,12 +159,13 @@ class Pieces:
                 at = self.trie[at][b]
             self.token[at] = t
         self.stands: dict[tuple[bytes, bytes], bool] = {}
+        self.step: dict[int, int] = {}
         self._clear()
 
     def _clear(self) -> None:
         self.states: list[tuple] = [((0, b"", 0),)]
         self.number = {self.states[0]: 0}
-        self.step: dict[int, int] = {}
+        self.step.clear()
         self.stands.clear()
 
     def side_by_side(self, a: bytes, b: bytes) -> bool:
