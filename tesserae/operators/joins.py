@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tesserae.functions.address import MAX_PO, first_dialable, neighborhood, proximity
@@ -14,13 +14,17 @@ def _keyed(df: DataFrame, address: str, depth: int) -> DataFrame:
     return df.withColumn("prefix", neighborhood(address, depth))
 
 
-def storers(chunks: DataFrame, nodes: DataFrame, depth: int) -> DataFrame:
-    """Each chunk with the nodes that cover it and their rank by round trip, unmeasured last, ties by overlay."""
-    from pyspark.sql import Window
+def storers(chunks: DataFrame, nodes: DataFrame, depth: int, most: int | None = None) -> DataFrame:
+    """Each chunk with the nodes that cover it and their rank by round trip, unmeasured last, ties by overlay; the first ``most``, or all.
 
-    both = _keyed(chunks, "address", depth).join(_keyed(nodes, "overlay", depth), "prefix")
-    order = Window.partitionBy("address", "index").orderBy(F.col("rtt_ms").asc_nulls_last(), "overlay")
-    return both.withColumn("rank", F.row_number().over(order))
+    The order of nodes is the same for all chunks of a prefix, so nodes are ranked within it, before
+    chunks are joined: what is sorted are nodes, and nothing beyond ``most`` of a prefix meets a chunk.
+    """
+    order = Window.partitionBy("prefix").orderBy(F.col("rtt_ms").asc_nulls_last(), "overlay")
+    ranked = _keyed(nodes, "overlay", depth).withColumn("rank", F.row_number().over(order))
+    if most is not None:
+        ranked = ranked.where(F.col("rank") <= most)
+    return _keyed(chunks, "address", depth).join(ranked, "prefix")
 
 
 def covered(chunks: DataFrame, nodes: DataFrame, depth: int) -> DataFrame:

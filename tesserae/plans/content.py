@@ -66,12 +66,12 @@ def underlay_functions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     with_("nodes")
-    + """select overlay, case when length(t) = 64 then t end as parsed, null::varchar as strict from (select overlay, lower(replace(replace(trim(case when node_no % 3 = 0 then ' 0x' || upper(overlay)
-    when node_no % 3 = 1 then overlay || ' ' else substr(overlay, 2) end), '0x', ''), '0X', '')) as t from nodes)"""
+    + """select overlay, case when length(t) = 64 then t end as parsed, case when node_no % 4 = 3 then overlay end as strict from (select overlay, node_no, lower(replace(replace(trim(case when node_no % 4 = 0
+    then ' 0x' || upper(overlay) when node_no % 4 = 1 then overlay || ' ' when node_no % 4 = 2 then substr(overlay, 2) else upper(overlay) end), '0x', ''), '0X', '')) as t from nodes)"""
 )
 def hex_parsing(spark: SparkSession, sf_dir: str) -> DataFrame:
     n = F.col("node_no")
-    raw = F.when(n % 3 == 0, F.concat(F.lit(" 0x"), F.upper("overlay"))).when(n % 3 == 1, F.concat("overlay", F.lit(" "))).otherwise(F.substring("overlay", 2, 64))
+    raw = F.when(n % 4 == 0, F.concat(F.lit(" 0x"), F.upper("overlay"))).when(n % 4 == 1, F.concat("overlay", F.lit(" "))).when(n % 4 == 2, F.substring("overlay", 2, 64)).otherwise(F.upper("overlay"))
     return D.nodes(spark, sf_dir).select("overlay", A.parse_hex(raw).alias("parsed"), A.parse_hex_strict(raw).alias("strict"))
 
 
@@ -81,7 +81,7 @@ def hex_parsing(spark: SparkSession, sf_dir: str) -> DataFrame:
     {sql_po("address", "overlay")} as po from chunks join nodes on {sql_prefix("address")} = {sql_prefix("overlay")}) where rank <= 3"""
 )
 def storers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ranked = joins.storers(D.chunks(spark, sf_dir), D.nodes(spark, sf_dir), DEPTH).where("rank <= 3")
+    ranked = joins.storers(D.chunks(spark, sf_dir), D.nodes(spark, sf_dir), DEPTH, most=3)
     price = S.peer_price(A.proximity("address", "overlay")).cast("bigint")
     return ranked.select("index", "overlay", F.col("rank").cast("bigint").alias("rank"), price.alias("price"))
 
@@ -207,10 +207,23 @@ def critical_bucket(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rank.most_critical(_buckets(spark, sf_dir)).select("prefix", "remaining", "criticality")
 
 
-@query(with_("chunks") + f", {_BUCKETS} select prefix, remaining from b where prefix % 3 = 0 and active = 0 and remaining >= 30 and prefix % 4 < 3")
+@query(with_("chunks") + f", {_BUCKETS} select prefix, remaining from b where prefix % 3 = 0 and active = 0 and remaining * 40 >= 30 and prefix % 4 < 3")
 def recyclable_buckets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """F9 over forty times the work, so that small tables have buckets that are worth it too."""
     have = _buckets(spark, sf_dir).withColumn("unused", F.col("prefix") % 3).withColumn("recycles", F.col("prefix") % 4)
-    return rank.recyclable(have).select("prefix", "remaining")
+    return rank.recyclable(have.withColumn("remaining", F.col("remaining") * 40)).select("prefix", (F.col("remaining") / 40).cast("bigint").alias("remaining"))
+
+
+@query(with_("nodes") + "select s.seed, count(*) as nodes, count(*) as keys, 0::bigint as misplaced from nodes, (select 7 as seed union all select 11) s group by s.seed having count(*) > 0")
+def seeded_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Under each seed every node has a place of its own, the same whenever it is asked for, and another one than under the next seed."""
+    n = D.nodes(spark, sf_dir)
+    both = n.select("overlay", F.explode(F.array(F.lit(7), F.lit(11))).alias("seed"))
+    key = F.when(F.col("seed") == 7, S.order_key(F.col("overlay"), 7)).otherwise(S.order_key(F.col("overlay"), 11))
+    again = n.select("overlay", S.order_key(F.col("overlay"), 7).alias("k7"), S.order_key(F.col("overlay"), 11).alias("k11"))
+    same = both.join(again, "overlay").withColumn("key", key)
+    moved = (F.col("key") != F.when(F.col("seed") == 7, F.col("k7")).otherwise(F.col("k11"))) | (F.col("k7") == F.col("k11"))
+    return same.groupBy("seed").agg(F.count("*").alias("nodes"), F.count_distinct("key").alias("keys"), F.count_if(moved).alias("misplaced"))
 
 
 @query(with_("chunks") + """select address, min("index") as "index" from chunks group by address""")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tesserae.functions.scalars import positive_ints, span_le
@@ -211,3 +211,40 @@ def account_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     q = out.writeStream.outputMode("update").foreachBatch(lambda df, k: df.withColumn("batch", F.lit(k)).write.mode("append").parquet(to))
     q.option("checkpointLocation", shared_path(spark, "accounts-checkpoint")).trigger(availableNow=True).start().awaitTermination()
     return aggregates.latest(spark.read.parquet(to), "peer", ["balance", "reserved", "refused", "events"], ["batch"])
+
+
+@query(with_("chunks") + """select address, cast("index" as varchar) as "index" from chunks""")
+def chunk_inventory_strict(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An inventory without a bad row; one would be an error."""
+    path = shared_path(spark, "chunks-strict")
+    D.chunks(spark, sf_dir).select("index", F.upper("address").alias("address_hex"), "data_len").write.option("header", True).csv(path)
+    return files.read_chunks(spark, path, strict=True).select("address", "index")
+
+
+@query(with_("nodes") + "select overlay, rtt_ms, node_no % 2 as run from nodes")
+def measurement_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """K2: two runs append to one table."""
+    path = shared_path(spark, "measurements")
+    n = D.nodes(spark, sf_dir).select("overlay", "rtt_ms", (F.col("node_no") % 2).alias("run"))
+    for run in (0, 1):
+        files.append_rows(n.where(F.col("run") == run), path)
+    return spark.read.parquet(path)
+
+
+@query(with_("nodes") + "select overlay, cast(node_no % 5 as varchar) as stake, 0 as out_of_order from nodes")
+def registry_file(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """K4/O3: the registry as files in order of overlay; out_of_order counts rows that come after a larger one of their file."""
+    path = shared_path(spark, "registry")
+    files.write_registry(D.nodes(spark, sf_dir).select("overlay", (F.col("node_no") % 5).alias("stake")), path)
+    back = spark.read.option("header", True).csv(path).withColumn("file", F.input_file_name()).withColumn("at", F.monotonically_increasing_id())
+    before = F.lag("overlay").over(Window.partitionBy("file").orderBy("at"))
+    return back.withColumn("out_of_order", F.coalesce((before > F.col("overlay")).cast("int"), F.lit(0))).select("overlay", "stake", "out_of_order")
+
+
+@query("select c_custkey as n, c_custkey * 1000 as threshold from customer where c_custkey % 5 <> 0 union all select c_custkey, null from customer where c_custkey % 5 = 0")
+def wire_thresholds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """P20: announced thresholds; every fifth message is cut short and announces nothing."""
+    c = D.table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("n"), (F.col("c_custkey") * 1000).alias("v"))
+    body = F.concat(F.unhex(F.lit("0A08")), F.unhex(F.lpad(F.hex("v"), 16, "0")))
+    sent = F.when(F.col("n") % 5 == 0, F.substring(body, 1, 6)).otherwise(body)
+    return c.select("n", wire.threshold_of(sent).cast("bigint").alias("threshold"))
