@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tesserae.llm.text import OWN, blocks, ddl, map_arrow, settled, shared_path, text_hash, with_columns
+from tesserae.llm.text import OWN, alone, blocks, ddl, map_arrow, settled, shared_path, text_hash, with_columns
 
 #: [^\x00-\x2F\x3A-\x60\x7B-\x7F] after lower-casing A-Z: digits, a-z and every byte of a character beyond ASCII.
 _WORD = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
@@ -166,6 +166,7 @@ _BUILT: dict[str, Automaton] = {}
 
 
 def _machine(name: str, shared, window: int) -> Automaton:  # noqa: ANN001
+    alone(_BUILT)
     if name not in _BUILT:
         _BUILT.clear()
         _BUILT[name] = Automaton(shared.value, window)

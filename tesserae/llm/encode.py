@@ -14,10 +14,12 @@ import re
 
 import numpy as np
 
+from tesserae.llm.text import alone
+
 #: Bytes of pieces that a worker holds in each of two generations: as the younger one fills up, the older one is forgotten.
-REMEMBERED = 100_000_000
+REMEMBERED = 70_000_000
 #: What a piece takes besides its characters and ids.
-_EACH = 200
+_EACH = 250
 _CUT = re.compile(r"(?<=\S) (?=\S)").split
 _SPACE = re.compile(r"\s").search
 
@@ -143,6 +145,7 @@ _ENCODERS: dict[str, Encoder] = {}
 
 def encoder(path: str) -> Encoder:
     """The worker's encoder for a tokenizer file, which every worker has at this path."""
+    alone(_ENCODERS)
     if path not in _ENCODERS:
         _ENCODERS[path] = Encoder(path)
     return _ENCODERS[path]

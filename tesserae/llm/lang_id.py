@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tesserae.llm.text import OWN, blocks, ddl, map_arrow, text_hash, with_columns
+from tesserae.llm.text import OWN, alone, blocks, ddl, map_arrow, text_hash, with_columns
 
 UNKNOWN = "und"
 #: Languages that share tables.
@@ -250,6 +250,7 @@ def identify(docs: DataFrame, train: Column | None = None, per_lang: int = 600_0
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
+        alone(_READY)
         if name not in _READY:
             _READY.clear()
             _READY[name] = compiled(m)

@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import DataFrame
 
 from tesserae.llm.decontam import words_of
-from tesserae.llm.text import blocks, ddl, map_arrow, with_columns
+from tesserae.llm.text import alone, blocks, ddl, map_arrow, with_columns
 
 #: Names and public texts of licenses: one-line notices, the standard notices of longer licenses, and short licenses whole. Fixed values.
 TEMPLATES: tuple[tuple[str, str], ...] = (
@@ -290,6 +290,7 @@ def scan_licenses(docs: DataFrame, templates: tuple[tuple[str, str], ...] = TEMP
     given = (tuple(templates), k, least, bands, rows)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        alone(_SCANNERS)
         if given not in _SCANNERS:
             _SCANNERS[given] = Scanner(list(given[0]), *given[1:])
         s = _SCANNERS[given]

@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType
 
-from tesserae.llm.text import BLANKS, LOWER, OWN, UPPER, blocks, ddl, map_arrow, settled, ship, text_hash, width, with_columns
+from tesserae.llm.text import BLANKS, LOWER, OWN, UPPER, alone, blocks, ddl, map_arrow, settled, ship, text_hash, width, with_columns
 
 _ROWS = pa.schema([("kind", pa.int8()), ("h1", pa.int64()), ("h2", pa.int64()), ("doc_id", pa.int64()), ("th", pa.int64()), ("pos", pa.int32()), ("n", pa.int64())])
 #: Kinds of streamed rows: a decided drop, an undecided one of an edge run, an edge run's count, its first row.
@@ -39,6 +39,7 @@ def _streamed(min_docs: int, keep_first: bool):
     """Streams a task's sorted rows, holding of a run no more than the rows of min_docs documents that are not decided yet."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        alone(None)
         key = doc = None  # of the run that is open
         docs, first_run, held, head = 0, True, [], None
 

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tesserae.llm.graph import attached, components, with_lowest
-from tesserae.llm.text import OWN, map_arrow, settled, text_hash, texts_of, width
+from tesserae.llm.text import OWN, alone, map_arrow, settled, text_hash, texts_of, width
 
 BITS = 64
 #: (first bit, number of bits) of the segments; each has one Hamming block of 15 bits.
@@ -114,6 +114,7 @@ def fingerprints(docs: DataFrame, words: int = 4) -> DataFrame:
     """(doc_id, th, fp) of every document; fp as a signed 64-bit number, 0 for a text without words or a null one."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        alone(None)
         for b in batches:
             fp = fingerprints_of(texts_of(b), words).view(">i8").reshape(-1).astype(np.int64)
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(fp)], ["doc_id", "th", "fp"])

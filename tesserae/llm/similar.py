@@ -23,11 +23,11 @@ from pyspark.sql import functions as F
 
 from tesserae.llm import simhash
 from tesserae.llm.graph import attached, components, with_lowest
-from tesserae.llm.text import blocks, map_arrow, settled, text_hash, texts_of, width
+from tesserae.llm.text import alone, blocks, map_arrow, settled, text_hash, texts_of, width
 
 BANDS, ROWS = 32, 5
 #: Texts of a block, and bytes of its shingles.
-BLOCK, BLOCK_BYTES = 1024, 16_000_000
+BLOCK, BLOCK_BYTES = 1024, 4_000_000
 _DRAW = np.random.default_rng(8)
 _MIX = _DRAW.integers(0, 1 << 31, BANDS * ROWS, np.uint32) * np.uint32(2) + np.uint32(1)
 _SHIFT = _DRAW.integers(0, 1 << 32, BANDS * ROWS, np.uint32)
@@ -65,8 +65,9 @@ def bands_of(hashes: np.ndarray) -> np.ndarray:
 
 def _rows(words: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        alone(None)
         for batch in batches:
-            for b in blocks(batch):
+            for b in blocks(batch, most=2_000_000):
                 texts = texts_of(b)
                 fp = simhash.fingerprints_of(texts).view(">i8").reshape(-1).astype(np.int64)
                 split = [words_of(t) for t in texts]
@@ -92,7 +93,7 @@ def _keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _sets(words: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for b in blocks(batch):
+            for b in blocks(batch, most=2_000_000):
                 yield pa.RecordBatch.from_arrays([b.column(0), pa.array([shingle_set(words_of(t), words).tobytes() for t in texts_of(b)], pa.binary())], ["w", "shingles"])
 
     return run
@@ -131,13 +132,14 @@ def _verified(least: float):
     """Over rows sorted by (band, lo, hi): the links of each group."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        alone(None)
         forest = simhash.Forest()
         key, held = None, []
 
         def closed() -> None:
             if len(held) > 1:
                 w, sets, side = zip(*held, strict=True)
-                forest_of(forest, np.array(w), [np.frombuffer(x, np.uint64) for x in sets], np.array(side), least)
+                forest_of(forest, np.array(w), [np.frombuffer(x.as_buffer(), np.uint64) for x in sets], np.array(side), least)
 
         def out() -> pa.RecordBatch:
             two = np.array(forest.links, np.int64).reshape(-1, 2)
@@ -145,7 +147,7 @@ def _verified(least: float):
             return pa.RecordBatch.from_arrays([pa.array(two[:, 0]), pa.array(two[:, 1])], ["a", "b"])
 
         for b in batches:
-            for r in zip(*(b.column(k).to_pylist() for k in range(6)), strict=True):
+            for r in zip(*(b.column(k).to_pylist() for k in range(5)), b.column(5), strict=True):
                 if r[:3] != key:
                     closed()
                     key, held = r[:3], []

@@ -35,6 +35,18 @@ def map_arrow(df: DataFrame, f: Callable[[Iterator[pa.RecordBatch]], Iterable[pa
     return df.mapInArrow(f, schema)
 
 
+_HELD: list[dict] = []
+
+
+def alone(store: dict | None) -> None:
+    """Empties what other operators hold in this worker (models, remembered pieces), so that only one has any at a time."""
+    for s in _HELD:
+        if s is not store:
+            s.clear()
+    if store is not None and not any(s is store for s in _HELD):
+        _HELD.append(store)
+
+
 def width(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
 

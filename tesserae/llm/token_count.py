@@ -24,7 +24,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from tesserae.llm.text import blocks, map_arrow
+from tesserae.llm.text import alone, blocks, map_arrow
 
 #: Classes of characters for the first transducer.
 RESET, BLANK, SPACE, NUMBER, APOSTROPHE, OTHER, LETTER, L_STMD, L_RV, L_E, L_L = range(11)
@@ -302,6 +302,7 @@ def count_tokens(docs: DataFrame, tokenizer: str, limit: int = 512) -> DataFrame
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        alone(_COUNTERS)
         if tokenizer not in _COUNTERS:
             _COUNTERS[tokenizer] = Counter(tokenizer)
         counter = _COUNTERS[tokenizer]
