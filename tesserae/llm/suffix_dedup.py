@@ -8,8 +8,8 @@ segment.
 1. Anchors' hashes go to buckets; those that two documents have come back to their documents. All
    other windows are unique and done with. A hash that stands for two strings only lets more pass.
 2. Segments with such anchors go to buckets by anchor, equal ones of a task as one. Each bucket
-   orders the suffixes at its windows by deep-shallow sorting: stable sorts by characters of
-   eight bytes to a shallow depth (in place of a multikey quicksort), then blind tries for groups that still agree. Neighbours that agree
+   orders the suffixes at its windows by deep-shallow sorting: multikey quicksort by characters of
+   eight bytes to a shallow depth, then blind tries for groups that still agree. Neighbours that agree
    over the whole window are one string, and its smallest document is known.
 3. Covered windows come back to their documents, which drop the bytes.
 
@@ -160,28 +160,48 @@ class BlindTrie:
                 stack += [node[1][c] for c in sorted(node[1], reverse=True)]
 
 
+def multikey_quicksort(text: bytes, starts: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Order of the suffixes at ``starts`` by their first ``depth`` bytes, and where the groups that agree so far begin and end.
+
+    A character is eight bytes. All groups that are still open are parted in step, each in three by a
+    pivot of its own (the middle one of three drawn at random): the equal part goes on to the next
+    character, the smaller and the greater one stay at theirs.
+    """
+    if len(text) < 8:
+        text += b"\0" * 8
+    words = np.lib.stride_tricks.sliding_window_view(np.frombuffer(text, np.uint8), 8)
+    order, draw = np.arange(len(starts)), np.random.default_rng(3)
+    begin, count, at = np.zeros(1, np.int64), np.array([len(starts)]), np.zeros(1, np.int64)
+    done: list[tuple[np.ndarray, np.ndarray]] = []
+    while True:
+        ended = (count > 1) & (at + 8 > depth)
+        done.append((begin[ended], begin[ended] + count[ended]))
+        begin, count, at = (x[(count > 1) & ~ended] for x in (begin, count, at))
+        if not len(begin):
+            break
+        first = np.cumsum(count) - count  # of each group, among the members of open groups
+        group = np.repeat(np.arange(len(count)), count)
+        place = np.arange(len(group)) + (begin - first)[group]
+        member = order[place]
+        word = words[starts[member] + at[group]].view(">u8").reshape(-1).astype(np.uint64)
+        pivot = np.sort(word[first + (draw.random((3, len(count))) * count).astype(np.int64)], axis=0)[1][group]
+        part = (word >= pivot).astype(np.int8) + (word > pivot)
+        sizes = np.bincount(3 * group + part, minlength=3 * len(count)).reshape(-1, 3)
+        offset = begin[:, None] + np.cumsum(sizes, axis=1) - sizes
+        for p in range(3):
+            mine = np.flatnonzero(part == p)
+            of = group[mine]
+            order[offset[of, p] + np.arange(len(mine)) - (np.cumsum(sizes[:, p]) - sizes[:, p])[of]] = member[mine]
+        begin, count, at = offset.reshape(-1), sizes.reshape(-1), (at[:, None] + np.array([0, 8, 0])).reshape(-1)
+    begin, end = (np.concatenate([x[k] for x in done]) for k in (0, 1))
+    return order, begin, end
+
+
 def deep_shallow(text: bytes, starts: np.ndarray, size: int, shallow: int = 24) -> tuple[np.ndarray, np.ndarray]:
     """Order of the suffixes at ``starts`` by their first ``size`` bytes, and whether each agrees there with the one before."""
-    raw = np.frombuffer(text, np.uint8)
-    order = np.arange(len(starts))
-    group = np.zeros(len(starts), np.int64)  # place of the first of its group
-    for d in range(0, min(shallow, size) - 7, 8):
-        open_ = np.flatnonzero(np.bincount(group, minlength=len(group))[group] > 1) if len(group) else order
-        if not len(open_):
-            break
-        at = starts[order[open_]] + d
-        word = raw[at[:, None] + np.arange(8)].view(">u8").reshape(-1).astype(np.uint64)
-        sort = np.lexsort((word, group[open_]))
-        order[open_] = order[open_[sort]]
-        g, word = group[open_[sort]], word[sort]
-        new = np.r_[True, (g[1:] != g[:-1]) | (word[1:] != word[:-1])]
-        group[open_] = open_[np.maximum.accumulate(np.where(new, np.arange(len(open_)), 0))]
+    order, begin, end = multikey_quicksort(text, starts, min(shallow, size))
     same = np.zeros(len(starts), bool)
-    begin = np.flatnonzero(np.r_[True, group[1:] != group[:-1]]) if len(group) else group
-    end = np.r_[begin[1:], len(group)]
     for lo, hi in zip(begin.tolist(), end.tolist(), strict=True):
-        if hi - lo < 2:
-            continue
         trie = BlindTrie(size)
         for k, s in zip(order[lo:hi].tolist(), starts[order[lo:hi]].tolist(), strict=True):
             trie.add(text[s : s + size], k)
