@@ -59,16 +59,27 @@ def latest(df: DataFrame, key: str, value: list[str], order: list[str]) -> DataF
     return df.groupBy(key).agg(row).select(key, "row.*")
 
 
+def sighted(sightings: DataFrame) -> DataFrame:
+    """What A8 needs of sightings, one row per overlay and address; rows of this form and plain sightings merge into this form again."""
+    if "rtt_seq" not in sightings.columns:
+        sightings = sightings.withColumn("rtt_seq", F.when(F.col("rtt_ms").isNotNull(), F.col("seq")))
+    return sightings.groupBy("overlay", "underlay").agg(
+        F.min("seq").alias("seq"),
+        F.max("tick").alias("tick"),
+        F.bool_or("dialed_ok").alias("dialed_ok"),
+        F.max_by("rtt_ms", "rtt_seq").alias("rtt_ms"),
+        F.max("rtt_seq").alias("rtt_seq"),
+    )
+
+
 def upsert(sightings: DataFrame) -> DataFrame:
     """One record per overlay: latest tick, dialled if ever, last known round trip, addresses in order of first sight."""
-    base = sightings.groupBy("overlay").agg(
+    return sighted(sightings).groupBy("overlay").agg(
         F.max("tick").alias("tick"),
         F.bool_or("dialed_ok").alias("dialed_ok"),
-        F.max_by("rtt_ms", F.when(F.col("rtt_ms").isNotNull(), F.col("seq"))).alias("rtt_ms"),
+        F.max_by("rtt_ms", "rtt_seq").alias("rtt_ms"),
+        F.transform(F.array_sort(F.collect_list(F.struct("seq", "underlay"))), lambda x: x["underlay"]).alias("underlays"),
     )
-    first = sightings.groupBy("overlay", "underlay").agg(F.min("seq").alias("seq")).groupBy("overlay")
-    lists = first.agg(F.transform(F.array_sort(F.collect_list(F.struct("seq", "underlay"))), lambda x: x["underlay"]).alias("underlays"))
-    return base.join(lists, "overlay")
 
 
 def ledger_merge(entries: DataFrame) -> DataFrame:

@@ -201,15 +201,21 @@ def sighting_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def account_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """R3/R4 as a stream with state; equals the query accounts, which tests check."""
+    """R3/R4 as a stream with state, stopped and resumed twice; equals the query accounts, which tests check.
+
+    Events come in three parts in order of seq; the stream ends after each and goes on from its checkpoint.
+    """
     from tesserae.plans.history import account_events
 
     path, to = shared_path(spark, "account-events"), shared_path(spark, "accounts")
     e = account_events(spark, sf_dir)
-    e.repartitionByRange(1, "seq").write.parquet(path)
-    out = state.accounts(spark.readStream.schema(e.schema).parquet(path), 5000)
-    q = out.writeStream.outputMode("update").foreachBatch(lambda df, k: df.withColumn("batch", F.lit(k)).write.mode("append").parquet(to))
-    q.option("checkpointLocation", shared_path(spark, "accounts-checkpoint")).trigger(availableNow=True).start().awaitTermination()
+    seq, checkpoint = F.col("seq"), shared_path(spark, "accounts-checkpoint")
+    low, high = e.approxQuantile("seq", [1 / 3, 2 / 3], 0.01) or [0, 0]
+    for part in (seq < low, (seq >= low) & (seq < high), seq >= high):
+        e.where(part).write.mode("append").parquet(path)
+        out = state.accounts(spark.readStream.schema(e.schema).parquet(path), 5000)
+        q = out.writeStream.outputMode("update").foreachBatch(lambda df, k: df.withColumn("batch", F.lit(k)).write.mode("append").parquet(to))
+        q.option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
     return aggregates.latest(spark.read.parquet(to), "peer", ["balance", "reserved", "refused", "events"], ["batch"])
 
 

@@ -298,7 +298,7 @@ def latency_ewma(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def pipeline_depth(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """R12; a fold over outcomes in order, tested against a model in tests."""
+    """R12; a fold over outcomes in order, tested against a plain loop (tests/test_whole.py)."""
     outcomes = F.transform(F.array_sort(F.collect_list(F.struct("ts", "event_id", "ok"))), lambda x: x["ok"])
     o = D.observations(spark, sf_dir).withColumn("ok", F.col("event_id") % 9 != 0)
     return o.groupBy("peer").agg(S.aimd_depth(outcomes).alias("depth"))
@@ -312,7 +312,7 @@ def account_events(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def accounts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """R3/R4; a state machine, tested against a model and against its stream."""
+    """R3/R4; a state machine, tested against a plain loop and against its stream (tests/test_whole.py)."""
     return state.accounts(account_events(spark, sf_dir), 5000)
 
 

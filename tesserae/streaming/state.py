@@ -12,8 +12,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from tesserae.operators.aggregates import upsert
-from tesserae.session import shared_path
+from tesserae.operators.aggregates import sighted, upsert
+from tesserae.session import removed, shared_path
 
 #: What a peer is taken to announce until it does.
 DEFAULT_THRESHOLD = 1_350_000
@@ -84,20 +84,28 @@ def delayed_credit(events: DataFrame, now_ms: Column, delay_ms: int = 2500) -> D
 def merged_stream(spark: SparkSession, sightings_dir: str, schema: str, files_per_trigger: int = 1) -> str:
     """Streams sightings from Parquet files into a merged table; returns where that is.
 
-    Each micro-batch is merged with the table of the one before (A8) and written as a version of its
-    own, so a batch that is run again writes the same version; the checkpoint resumes after a stop.
+    Each micro-batch is merged with the table of the one before (aggregates.sighted: a row per overlay
+    and address, however many sightings there were) and written as a version of its own, so a batch that
+    is run again writes the same version; the checkpoint resumes after a stop. Versions that no batch can
+    need again are deleted. A stream without a file leaves an empty table.
     """
     to = shared_path(spark, "merged")
     source = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger).parquet(sightings_dir)
+    written: list[int] = []
 
     def merge(batch: DataFrame, number: int) -> None:
-        have = batch.sparkSession.read.schema(schema).parquet(f"{to}/{number - 1}").unionByName(batch) if number else batch
-        have.write.mode("overwrite").parquet(f"{to}/{number}")
+        new, before = sighted(batch), [k for k in written if k < number]
+        if before:
+            new = sighted(batch.sparkSession.read.parquet(f"{to}/{before[-1]}").unionByName(new))
+        new.write.mode("overwrite").parquet(f"{to}/{number}")
+        removed(spark, *(f"{to}/{k}" for k in before[:-1]))
+        written[:] = [*before[-1:], number]
 
     query = source.writeStream.foreachBatch(merge).option("checkpointLocation", shared_path(spark, "merged-checkpoint")).trigger(availableNow=True).start()
     query.awaitTermination()
-    last = query.lastProgress["batchId"] if query.lastProgress else 0
-    return f"{to}/{last}"
+    if not written:
+        merge(spark.createDataFrame([], schema), 0)
+    return f"{to}/{written[-1]}"
 
 
 def merged_nodes(spark: SparkSession, path: str) -> DataFrame:

@@ -5,8 +5,9 @@ from __future__ import annotations
 import pytest
 
 from tesserae import catalog
-from tesserae.operators import graph
+from tesserae.operators import aggregates, graph
 from tesserae.sources import domain
+from tesserae.streaming import state
 from tests.oracle import DATA, connect
 
 SF = "sf0.001"
@@ -43,3 +44,53 @@ def test_storers_beyond_the_third(spark):
     pairs = catalog.QUERIES["storers"](spark, many)
     assert got.where("rank > 3").count() > 0 and not got.where("rank <= 3").exceptAll(pairs).count() and not pairs.exceptAll(got).count()
     assert 0.8 < catalog.QUERIES["chunk_index_file_whole"](spark, many).count() / domain.chunks(spark, many).count() < 0.95
+
+
+@needs_tables
+def test_accounts_and_their_stream(spark):
+    limit, now = 5000, {}
+    for user, event, amount in connect(SF).sql("select user_id, event_id, cast(floor(abs(value)) as bigint) from events order by event_id").fetchall():
+        debt, held, no, n = now.get(user, (0, 0, 0, 0))
+        if event % 4 == 0 and debt + held + amount > limit:
+            no += 1
+        elif event % 4 == 0:
+            held += amount
+        elif event % 4 == 3:
+            debt = max(debt - amount, 0)
+        else:
+            held, debt = max(held - amount, 0), debt + amount * (event % 4 == 1)
+        now[user] = debt, held, no, n + 1
+    for name in ("accounts", "account_stream"):
+        got = catalog.QUERIES[name](spark, f"{DATA}/{SF}").collect()
+        assert {r.peer: (r.balance, r.reserved, r.refused, r.events) for r in got} == now and len(got) == len(now)
+
+
+@needs_tables
+def test_pipeline_depth(spark):
+    want: dict[int, tuple[int, int]] = {}
+    for r in sorted(domain.observations(spark, f"{DATA}/{SF}").select("peer", "ts", "event_id").collect(), key=lambda r: (r.ts, r.event_id)):
+        depth, run = want.get(r.peer, (2, 0))
+        if r.event_id % 9 == 0:
+            depth, run = max(2, depth // 2), 0
+        elif run + 1 >= 8 and depth < 16:
+            depth, run = depth + 1, 0
+        else:
+            run += 1
+        want[r.peer] = depth, run
+    got = {r.peer: r.depth for r in catalog.QUERIES["pipeline_depth"](spark, f"{DATA}/{SF}").collect()}
+    assert got == {p: d for p, (d, _) in want.items()} and max(got.values()) > 2
+
+
+def test_merged_stream(spark, tmp_path):
+    """Batches of one file each merge to what all sightings give at once; a stream without a file ends too."""
+    schema = "overlay string, seq long, tick long, dialed_ok boolean, rtt_ms int, underlay string"
+    rows = [("a", 5, 1, False, None, "x"), ("a", 2, 9, False, 70, "y"), ("b", 1, 3, True, None, None), ("a", 3, 4, True, 60, "x"), ("b", 7, 2, False, 8, "z"), ("a", 9, 0, False, None, "y")]
+    for k, r in enumerate(rows):
+        spark.createDataFrame([r], schema).coalesce(1).write.parquet(f"{tmp_path}/in", mode="append" if k else "overwrite")
+    want = [("a", 9, True, 60, ["y", "x"]), ("b", 3, True, 8, [None, "z"])]
+    to = state.merged_stream(spark, f"{tmp_path}/in", schema)
+    assert sorted(map(tuple, state.merged_nodes(spark, to).collect())) == want
+    assert sorted(map(tuple, aggregates.upsert(spark.createDataFrame(rows, schema)).collect())) == want
+    assert spark.read.parquet(to).count() == 4
+    (tmp_path / "none").mkdir()
+    assert state.merged_nodes(spark, state.merged_stream(spark, f"{tmp_path}/none", schema)).count() == 0
