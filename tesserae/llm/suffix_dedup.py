@@ -5,15 +5,19 @@ sparse. A window of ``size`` bytes has an anchor, the leftmost of its ``gram``-b
 least hash; equal windows have equal anchors at equal places. Windows in a row with one anchor are a
 segment.
 
-1. Anchors' hashes go to buckets; those that two documents have come back to their documents. All
-   other windows are unique and done with. A hash that stands for two strings only lets more pass.
-2. Segments with such anchors go to buckets by anchor, equal ones of a task as one. Each bucket
-   orders the suffixes at its windows by deep-shallow sorting: multikey quicksort by characters of
-   eight bytes to a shallow depth, then blind tries for groups that still agree. Neighbours that agree
-   over the whole window are one string, and its smallest document is known.
-3. Covered windows come back to their documents, which drop the bytes.
-
-What is shuffled are compressed blocks of numbers; texts travel zstandard-compressed, by document.
+1. Documents are dealt to buckets. A bucket sends each anchor's hash once, with the least and the
+   greatest document that has it; hashes that two documents have come back to the buckets. All other
+   windows are unique and done with. A hash that stands for two strings only lets more pass.
+2. Segments with such anchors go to buckets by anchor, each string once from a bucket of documents,
+   again with its least and greatest document. Each bucket orders the suffixes at its windows by
+   deep-shallow sorting: multikey quicksort by characters of eight bytes to a shallow depth, then
+   blind tries for groups that still agree. Neighbours that agree over the whole window are one
+   string, and its smallest document is known.
+3. That document comes back for each string, by runs of windows, to the buckets of documents, which
+   look up where they have the string and drop the bytes that are covered.
+
+So an anchor or a segment that a third of all documents have counts once for each bucket, not for
+each document. What is shuffled are compressed blocks of numbers; texts travel zstandard-compressed.
 """
 
 from __future__ import annotations
@@ -28,7 +32,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tesserae.llm.text import blocks, map_arrow, ship, text_hash, width
+from tesserae.llm.text import map_arrow, ship, text_hash, width
 
 #: What a null doc_id counts as: it comes after all others, and covers nothing.
 LAST = (1 << 63) - 1
@@ -36,7 +40,7 @@ _CHUNK = 60_000
 _LOW = np.uint64(0xFFFF)
 
 
-def _packed(*arrays: np.ndarray | bytes) -> bytes:
+def _packed(*arrays: np.ndarray | bytes | int) -> bytes:
     """Arrays transposed into byte planes and compressed."""
     planes = [(a.dtype.str, len(a), np.ascontiguousarray(a.view(np.uint8).reshape(len(a), -1).T).tobytes()) if isinstance(a, np.ndarray) and len(a) else a for a in arrays]
     return zstandard.compress(pickle.dumps(planes), 3)
@@ -230,22 +234,37 @@ def _home(doc: np.ndarray, th: np.ndarray, n: int) -> np.ndarray:
     return ((x * np.uint64(0xD6E8FEB86659FD93)) >> np.uint64(33)).astype(np.int64) % n
 
 
-def _to_documents(doc: np.ndarray, th: np.ndarray, of: np.ndarray, n: int, *values: np.ndarray):
-    """Packed blocks by bucket of documents; of: which document each value is for."""
-    for b, rows in _dealt(_home(doc, th, n)[of], n) if len(of) else ():
-        used, k = np.unique(of[rows], return_inverse=True)
-        order = np.argsort(k, kind="stable")
-        yield b, _packed(doc[used], th[used], np.bincount(k).astype(np.int32), *(v[rows[order]] for v in values))
+def _groups(docs_pdf, most: int = 2_000_000) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:  # noqa: ANN001
+    """Rows of a bucket of documents by ``most`` compressed bytes, with their texts joined and where each ends; repeated rows once."""
+    group: list[int] = []
+    seen, held = set(), 0
+    for k, key in enumerate(zip(docs_pdf["doc"].tolist(), docs_pdf["th"].tolist(), strict=True)):
+        if key in seen:
+            continue
+        seen.add(key)
+        group.append(k)
+        held += len(docs_pdf["text"].iat[k])
+        if held > most:
+            yield np.array(group), *_joined([zstandard.decompress(docs_pdf["text"].iat[j]) for j in group])
+            group, held = [], 0
+    if group:
+        yield np.array(group), *_joined([zstandard.decompress(docs_pdf["text"].iat[j]) for j in group])
 
 
-def _for_document(raws: list[bytes]) -> dict[tuple[int, int], list[tuple]]:
-    out: dict[tuple[int, int], list[tuple]] = {}
-    for raw in raws:
-        doc, th, count, *values = _unpacked(raw)
-        edge = np.r_[0, np.cumsum(count)]
-        for k, key in enumerate(zip(doc.tolist(), th.tolist(), strict=True)):
-            out.setdefault(key, []).append(tuple(v[edge[k] : edge[k + 1]] for v in values))
-    return out
+def _least_and_greatest(h: np.ndarray, low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Each hash once, in order, with the least of ``low`` and the greatest of ``high``."""
+    if not len(h):
+        return h, low, high
+    order = np.argsort(h, kind="stable")
+    h = h[order]
+    start = np.flatnonzero(np.r_[True, h[1:] != h[:-1]])
+    return h[start], np.minimum.reduceat(low[order], start), np.maximum.reduceat(high[order], start)
+
+
+def _spread(edge: np.ndarray, of: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """All places from edge[k] to edge[k + 1] for each k of ``of``, and the index in ``of`` that each is for."""
+    count = edge[of + 1] - edge[of]
+    return np.repeat(edge[of] - (np.cumsum(count) - count), count) + np.arange(count.sum()), np.repeat(np.arange(len(of)), count)
 
 
 def _pdf(rows: list[tuple]):  # noqa: ANN202
@@ -255,6 +274,8 @@ def _pdf(rows: list[tuple]):  # noqa: ANN202
 
 
 _BLOCKS = "bucket int, raw binary"
+#: First bytes of a packed block: strings to compare, places that stay with their documents, answers.
+_STRINGS, _PLACES, _ANSWERS = b"s", b"p", b"a"
 
 
 def remove_repeats(docs: DataFrame, size: int = 50, gram: int = 20) -> DataFrame:
@@ -262,7 +283,8 @@ def remove_repeats(docs: DataFrame, size: int = 50, gram: int = 20) -> DataFrame
 
     A byte goes if a string of ``size`` bytes that covers it also starts in a document with a smaller
     doc_id. A null text is empty and a short one stays whole. Documents with equal ids don't cover
-    each other; a document without an id comes after all others. Repeated rows get equal results.
+    each other; a document without an id comes after all others. Repeated rows get equal results; an
+    empty table gives an empty one.
     """
     spark = docs.sparkSession
     ship(spark)
@@ -277,194 +299,160 @@ def remove_repeats(docs: DataFrame, size: int = 50, gram: int = 20) -> DataFrame
             raw = [z.compress((t or "").encode("utf-8", "surrogatepass")) for t in b.column(2).to_pylist()]
             yield pa.RecordBatch.from_arrays([pa.array(home, pa.int32()), doc, th, b.column(0).is_null(), pa.array(raw, pa.binary())], ["bucket", "doc", "th", "no_id", "text"])
 
-    table = docs.select("doc_id", text_hash().alias("th"), "text")
-    texts = map_arrow(table, compress, "bucket int, doc long, th long, no_id boolean, text binary")
-
-    def anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple] = []
-        docs_, ths, size_ = [], [], 0
-
-        def out() -> pa.RecordBatch:
-            h, of = (np.concatenate([x[k] for x in held]) for k in (0, 1))
-            doc = np.array(docs_, np.int64)
-            home = _home(doc, np.array(ths, np.int64), n).astype("<u4")
-            buckets, raws = [], []
-            for b, rows in _dealt((h % np.uint64(n)).astype(np.int64), n):
-                order = rows[np.lexsort((of[rows], h[rows]))]
-                a, o = h[order], of[order]
-                once = np.r_[True, (a[1:] != a[:-1]) | (o[1:] != o[:-1])]
-                used, k = np.unique(o[once], return_inverse=True)
-                buckets.append(b)
-                raws.append(_packed(np.diff(a[once], prepend=np.uint64(0)), k.astype("<u4" if len(used) > 65535 else "<u2"), np.diff(doc[used], prepend=0), home[used]))
-            return pa.RecordBatch.from_arrays([pa.array(buckets, pa.int32()), pa.array(raws, pa.binary())], ["bucket", "raw"])
-
-        for batch in batches:
-            for b in blocks(batch, most=8_000_000):
-                raw, ends = _joined([(t or "").encode("utf-8", "surrogatepass") for t in b.column(2).to_pylist()])
-                first, _, h = made.of(raw, ends)
-                held.append((h, np.searchsorted(ends, first, side="right") + len(docs_)))
-                docs_ += b.column(0).fill_null(LAST).to_pylist()
-                ths += b.column(1).to_pylist()
-                size_ += len(raw)
-                if size_ > 24_000_000:
-                    yield out()
-                    held, docs_, ths, size_ = [], [], [], 0
-        if held:
-            yield out()
+    def anchors(docs_pdf):  # noqa: ANN001, ANN202
+        """Of a bucket of documents each anchor once, by bucket of anchors, with the least and the greatest document."""
+        ids = docs_pdf["doc"].to_numpy(np.int64)
+        held = []
+        for group, raw, ends in _groups(docs_pdf):
+            first, _, h = made.of(raw, ends)
+            doc = ids[group[np.searchsorted(ends, first, side="right")]]
+            held.append(_least_and_greatest(h, doc, doc))
+        h, low, high = _least_and_greatest(*(np.concatenate(x) for x in zip(*held, strict=True)))
+        home = int(docs_pdf["bucket"].iat[0])
+        out = []
+        for b, rows in _dealt((h % np.uint64(n)).astype(np.int64), n):
+            used, k = np.unique(low[rows], return_inverse=True)
+            out.append((b, _packed(home, np.diff(h[rows], prepend=np.uint64(0)), k.astype("<u4" if len(used) > 65535 else "<u2"), np.diff(used, prepend=0), high[rows] - low[rows])))
+        return _pdf(out)
 
     def repeated(pdf):  # noqa: ANN001, ANN202
-        """Of a bucket of anchors those that two documents have, by document."""
-        hs, docs_, homes = [], [], []
+        """Of a bucket of anchors those that two documents have, for each bucket of documents."""
+        hs, lows, highs, homes = [], [], [], []
         for raw in pdf["raw"]:
-            a, k, doc, home = _unpacked(raw)
+            home, a, k, used, more = _unpacked(raw)
             hs.append(np.cumsum(a, dtype=np.uint64))
-            docs_.append(np.cumsum(doc)[k])
-            homes.append(home[k])
-        h, doc, home = np.concatenate(hs), np.concatenate(docs_), np.concatenate(homes)
+            lows.append(np.cumsum(used)[k])
+            highs.append(lows[-1] + more)
+            homes.append(np.full(len(a), home, np.int32))
+        h, low, high, home = (np.concatenate(x) for x in (hs, lows, highs, homes))
         order = np.argsort(h, kind="stable")
-        h, doc, home = h[order], doc[order], home[order]
+        h, low, high, home = h[order], low[order], high[order], home[order]
         start = np.flatnonzero(np.r_[True, h[1:] != h[:-1]])
-        shared = np.minimum.reduceat(doc, start) != np.maximum.reduceat(doc, start)
+        shared = np.minimum.reduceat(low, start) != np.maximum.reduceat(high, start)
         keep = np.repeat(shared, np.diff(np.r_[start, len(h)]))
-        h, doc, home = h[keep], doc[keep], home[keep]
-        out = []
-        for b, rows in _dealt(home.astype(np.int64), n) if len(h) else ():
-            rows = rows[np.argsort(doc[rows], kind="stable")]
-            used, count = np.unique(doc[rows], return_counts=True)
-            out.append((b, _packed(np.diff(used, prepend=0), count.astype("<u4"), h[rows])))
-        return _pdf(out)
+        h, home = h[keep], home[keep]
+        return _pdf([(b, _packed(np.diff(h[rows], prepend=np.uint64(0)))) for b, rows in _dealt(home, n)])
 
     def segments(docs_pdf, marks_pdf):  # noqa: ANN001, ANN202
-        """Of a bucket of documents the segments with repeated anchors, by anchor; equal ones as one."""
-        # by id alone: that another row with this id has an anchor only lets more pass
-        marks: dict[int, list[np.ndarray]] = {}
-        for packed in marks_pdf["raw"]:
-            doc, count, h = _unpacked(packed)
-            edge = np.r_[0, np.cumsum(count.astype(np.int64))]
-            for j, d in enumerate(np.cumsum(doc).tolist()):
-                marks.setdefault(d, []).append(h[edge[j] : edge[j + 1]])
+        """Of a bucket of documents the strings with repeated anchors, by anchor, and the places of them, to itself."""
+        if not len(marks_pdf):
+            return _pdf([])
+        shared = np.sort(np.concatenate([np.cumsum(_unpacked(raw)[0], dtype=np.uint64) for raw in marks_pdf["raw"]]))
         found: dict[bytes, int] = {}
-        at: dict[str, list] = {"anchor": [], "content": [], "doc": [], "pos": []}
-        ids, ths = docs_pdf["doc"].to_numpy(np.int64), docs_pdf["th"].to_numpy(np.int64)
-        group: list[int] = []
-        held = 0
-
-        def flush() -> None:
-            raws = [zstandard.decompress(docs_pdf["text"].iat[k]) for k in group]
-            raw, ends = _joined(raws)
+        anchors_: list[int] = []
+        contents, docs_, places = [], [], []
+        for group, raw, ends in _groups(docs_pdf):
             first, count, h = made.of(raw, ends)
-            of = np.searchsorted(ends, first, side="right")
-            edge = np.searchsorted(of, np.arange(len(group) + 1))
-            whole = raw.tobytes()
-            begin = np.r_[0, ends[:-1]]
-            for j, k in enumerate(group):
-                mine = np.concatenate(marks[ids[k]])
-                rows = np.flatnonzero(np.isin(h[edge[j] : edge[j + 1]], mine)) + edge[j]
-                for a, c, x in zip(first[rows].tolist(), count[rows].tolist(), h[rows].tolist(), strict=True):
-                    content = found.setdefault(whole[a : a + c + size - 1], len(found))
-                    if content == len(at["anchor"]):
-                        at["anchor"].append(x)
-                    at["content"].append(content)
-                    at["doc"].append(k)
-                    at["pos"].append(a - begin[j])
-            group.clear()
-
-        seen = set()
-        for k, key in enumerate(zip(ids.tolist(), ths.tolist(), strict=True)):
-            if key[0] in marks and key not in seen:  # repeated rows have equal results
-                seen.add(key)
-                group.append(k)
-                held += len(docs_pdf["text"].iat[k])
-                if held > 2_000_000:
-                    flush()
-                    held = 0
-        if group:
-            flush()
-        if not found:
+            rows = np.flatnonzero(shared[np.minimum(np.searchsorted(shared, h), len(shared) - 1)] == h)
+            of = np.searchsorted(ends, first[rows], side="right")
+            whole, content = raw.tobytes(), np.empty(len(rows), np.int64)
+            for j, (a, c, x) in enumerate(zip(first[rows].tolist(), count[rows].tolist(), h[rows].tolist(), strict=True)):
+                content[j] = k = found.setdefault(whole[a : a + c + size - 1], len(found))
+                if k == len(anchors_):
+                    anchors_.append(x)
+            contents.append(content)
+            docs_.append(group[of])
+            places.append(first[rows] - np.r_[0, ends][of])
+        content, doc, pos = (np.concatenate(x) for x in (contents, docs_, places))
+        if not len(content):
             return _pdf([])
-        content, doc, pos = (np.array(at[x], np.int64) for x in ("content", "doc", "pos"))
-        anchor = np.array(at["anchor"], np.uint64)
-        strings = list(found)
-        out = []
-        bucket = (anchor % np.uint64(n)).astype(np.int64)
-        by_content = dict(_dealt(bucket[content], n))
+        ids, ths = docs_pdf["doc"].to_numpy(np.int64), docs_pdf["th"].to_numpy(np.int64)
+        _, low, high = _least_and_greatest(content, ids[doc], ids[doc])
+        home, anchor, strings = int(docs_pdf["bucket"].iat[0]), np.array(anchors_, np.uint64), list(found)
+        bucket = (anchor % np.uint64(n)).astype("<u4")
+        used, d = np.unique(doc, return_inverse=True)
+        small = "<u4" if pos.max() < 1 << 32 else np.int64
+        out = [(home, _PLACES + _packed(bucket, content.astype("<u4"), d.astype("<u4"), pos.astype(small), ids[used], ths[used]))]
         for b, mine in _dealt(bucket, n):
-            rows = by_content[b]
-            place = np.zeros(len(strings), np.int32)
-            place[mine] = np.arange(len(mine))
-            used, d = np.unique(doc[rows], return_inverse=True)
             text = [strings[k] for k in mine.tolist()]
-            out.append((b, _packed(anchor[mine], np.array([len(t) for t in text], "<u2"), place[content[rows]], d.astype(np.int32), pos[rows].astype("<u4" if pos.max() < 1 << 32 else np.int64), ids[used], ths[used], b"".join(text))))
+            out.append((b, _STRINGS + _packed(home, anchor[mine], np.array([len(t) for t in text], "<u2"), low[mine], high[mine] - low[mine], b"".join(text))))
         return _pdf(out)
 
     def covered(pdf):  # noqa: ANN001, ANN202
-        """Of a bucket of segments the windows that a smaller document has, by document."""
+        """Of a bucket of strings the least document of each window, to the buckets that sent it; places go on as they are."""
         number: dict[bytes, int] = {}
-        anchor, content, docs_, ths, pos = [], [], [], [], []
+        anchor: list[int] = []
+        sent: list[tuple[int, np.ndarray, np.ndarray]] = []
+        owns, lows, out = [], [], []
+        me = int(pdf["bucket"].iat[0])
         for raw in pdf["raw"]:
-            a, lengths, c, d, p, ids, th, text = _unpacked(raw)
+            if raw[:1] == _PLACES:
+                out.append((me, raw))
+                continue
+            home, a, lengths, low, more, text = _unpacked(raw[1:])
             edge = np.r_[0, np.cumsum(lengths.astype(np.int64))].tolist()
             own = np.empty(len(a), np.int64)
             for k, x in enumerate(a.tolist()):
-                s = text[edge[k] : edge[k + 1]]
-                own[k] = number.setdefault(s, len(number))
-                if own[k] == len(anchor):
+                own[k] = m = number.setdefault(text[edge[k] : edge[k + 1]], len(number))
+                if m == len(anchor):
                     anchor.append(x)
-            content.append(own[c])
-            docs_.append(ids[d])
-            ths.append(th[d])
-            pos.append(p.astype(np.int64))
-        content, doc, th, pos = (np.concatenate(x) for x in (content, docs_, ths, pos))
+            sent.append((home, own, low + more))
+            owns.append(own)
+            lows.append(low)
+        if not sent:
+            return _pdf(out)
         least = np.full(len(number), LAST)
-        np.minimum.at(least, content, doc)
-        anchors_ = np.array(anchor, np.uint64)
+        np.minimum.at(least, np.concatenate(owns), np.concatenate(lows))
         strings = list(number)
         windows = np.array([len(s) - size + 1 for s in strings], np.int64)
         # only segments whose anchor has others can share a window with them
-        _, kind, kinds = np.unique(anchors_, return_inverse=True, return_counts=True)
-        some = np.flatnonzero(kinds[kind] > 1)
-        runs: dict[int, list[tuple[int, int]]] = {}
+        _, kind, kinds = np.unique(np.array(anchor, np.uint64), return_inverse=True, return_counts=True)
+        some, rest = np.flatnonzero(kinds[kind] > 1), np.flatnonzero(kinds[kind] == 1)
+        runs = [(rest, np.zeros(len(rest), np.int64), windows[rest], least[rest])]
         if len(some):
             text = b"".join(strings[k] for k in some.tolist()) + b"\0" * 8
             begin = np.r_[0, np.cumsum([len(strings[k]) for k in some.tolist()])[:-1]]
             of = np.repeat(some, windows[some])
             offset = np.arange(len(of)) - np.repeat(np.cumsum(windows[some]) - windows[some], windows[some])
-            starts = np.repeat(begin, windows[some]) + offset
-            order, same = deep_shallow(text, starts, size)
-            string = np.cumsum(~same) - 1
-            low = np.minimum.reduceat(least[of[order]], np.flatnonzero(~same))
-            hit = np.zeros(len(of), bool)
-            hit[order] = low[string] < least[of[order]]
-            edge = np.flatnonzero(np.diff(np.r_[False, hit, False].astype(np.int8)))
-            for a, b in zip(edge[::2].tolist(), edge[1::2].tolist(), strict=True):
-                while a < b:  # a run may go over into the next segment's windows
-                    k, stop = int(of[a]), a + int(windows[of[a]] - offset[a])
-                    runs.setdefault(k, []).append((int(offset[a]), min(b, stop) - a))
-                    a = min(b, stop)
-        later = doc > least[content]
-        of_doc, start, count = [np.flatnonzero(later)], [pos[later]], [windows[content[later]]]
-        first = np.flatnonzero(~later)
-        for k in first[np.isin(content[first], np.array(list(runs), np.int64))].tolist() if runs else ():
-            for o, c in runs[int(content[k])]:
-                of_doc.append(np.array([k]))
-                start.append(np.array([pos[k] + o]))
-                count.append(np.array([c]))
-        row, start, count = np.concatenate(of_doc), np.concatenate(start), np.concatenate(count)
-        if not len(row):
-            return _pdf([])
-        pair, of = np.unique(np.stack([doc[row], th[row]], 1), axis=0, return_inverse=True)
-        return _pdf(list(_to_documents(np.ascontiguousarray(pair[:, 0]), np.ascontiguousarray(pair[:, 1]), of.reshape(-1), n, start.astype(np.int64), count.astype("<u2"))))
+            order, same = deep_shallow(text, np.repeat(begin, windows[some]) + offset, size)
+            low = np.empty(len(of), np.int64)
+            low[order] = np.minimum.reduceat(least[of[order]], np.flatnonzero(~same))[np.cumsum(~same) - 1]
+            at = np.flatnonzero(np.r_[True, (of[1:] != of[:-1]) | (low[1:] != low[:-1])])
+            runs.append((of[at], offset[at], np.diff(np.r_[at, len(of)]), low[at]))
+        of, offset, count, low = (np.concatenate(x) for x in zip(*runs, strict=True))
+        order = np.argsort(of, kind="stable")
+        edge = np.searchsorted(of[order], np.arange(len(strings) + 1))
+        for home, own, high in sent:
+            run, place = _spread(edge, own)
+            run = order[run]
+            hit = low[run] < high[place]  # else none of its documents comes later
+            run, place = run[hit], place[hit]
+            if len(run):
+                out.append((home, _ANSWERS + _packed(me, place.astype("<u4"), offset[run].astype("<u2"), count[run].astype("<u2"), low[run])))
+        return _pdf(out)
+
+    def windows_of(raws: list[bytes]) -> dict[tuple[int, int], tuple[np.ndarray, np.ndarray]]:
+        """The covered windows of each document of a bucket, from its places and the answers."""
+        places = [raw for raw in raws if raw[:1] == _PLACES]
+        answers = [_unpacked(raw[1:]) for raw in raws if raw[:1] == _ANSWERS]
+        if not places or not answers:
+            return {}
+        bucket, content, d, pos, ids, ths = _unpacked(places[0][1:])
+        mine = dict(_dealt(bucket, n))
+        string = np.concatenate([mine[b][place] for b, place, *_ in answers])
+        offset, count, low = (np.concatenate([x[k] for x in answers]) for k in (2, 3, 4))
+        order = np.argsort(string, kind="stable")
+        edge = np.searchsorted(string[order], np.arange(len(bucket) + 1))
+        run, place = _spread(edge, content.astype(np.int64))
+        run = order[run]
+        hit = low[run] < ids[d[place]]
+        run, place = run[hit], place[hit]
+        of = d[place]
+        order = np.argsort(of, kind="stable")
+        edge = np.searchsorted(of[order], np.arange(len(ids) + 1)).tolist()
+        start, count = (pos[place].astype(np.int64) + offset[run])[order], count[run].astype(np.int64)[order]
+        return {key: (start[edge[k] : edge[k + 1]], count[edge[k] : edge[k + 1]]) for k, key in enumerate(zip(ids.tolist(), ths.tolist(), strict=True)) if edge[k] < edge[k + 1]}
 
     def cut(docs_pdf, marks_pdf):  # noqa: ANN001, ANN202
         import pandas as pd
 
-        marks = _for_document(list(marks_pdf["raw"]))
+        marks = windows_of(list(marks_pdf["raw"]))
         out = []
         for doc, th, no_id, z in zip(*(docs_pdf[c] for c in ("doc", "th", "no_id", "text")), strict=True):
             raw = zstandard.decompress(z)
             kept, removed, spans = raw, 0, 0
             if mine := marks.get((doc, th)):
-                start, count = (np.concatenate([x[k] for x in mine]).astype(np.int64) for k in (0, 1))
+                start, count = mine
                 change = np.zeros(len(raw) + 1, np.int64)
                 np.add.at(change, start, 1)
                 np.add.at(change, start + count + size - 1, -1)
@@ -475,8 +463,9 @@ def remove_repeats(docs: DataFrame, size: int = 50, gram: int = 20) -> DataFrame
         frame = pd.DataFrame(out, columns=["doc_id", "n_bytes", "n_removed", "n_spans", "kept", "kept_sha256"])
         return frame.astype({"doc_id": "Int64"})
 
-    by_anchor = map_arrow(docs.select("doc_id", text_hash().alias("th"), "text"), anchors, _BLOCKS).groupBy("bucket").applyInPandas(repeated, _BLOCKS)
+    texts = map_arrow(docs.select("doc_id", text_hash().alias("th"), "text"), compress, "bucket int, doc long, th long, no_id boolean, text binary")
     by_text = texts.groupBy("bucket")
+    by_anchor = by_text.applyInPandas(anchors, _BLOCKS).groupBy("bucket").applyInPandas(repeated, _BLOCKS)
     found = by_text.cogroup(by_anchor.groupBy("bucket")).applyInPandas(segments, _BLOCKS)
-    gone = found.groupBy("bucket").applyInPandas(covered, _BLOCKS)
-    return by_text.cogroup(gone.groupBy("bucket")).applyInPandas(cut, "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary, kept_sha256 string")
+    told = found.groupBy("bucket").applyInPandas(covered, _BLOCKS)
+    return by_text.cogroup(told.groupBy("bucket")).applyInPandas(cut, "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary, kept_sha256 string")

@@ -315,10 +315,10 @@ def test_components_of_a_path(spark):
 # 5
 
 
-def test_suffix_dedup(spark):
+def bytes_removed(rows: list[tuple]) -> Counter:
     seen: dict[bytes, int] = {}
     last = 1 << 62
-    parts = sorted(((last if d is None else d), (t or "").encode()) for d, t, _ in X.rows())
+    parts = sorted(((last if d is None else d), (t or "").encode()) for d, t, _ in rows)
     grams = [(d, [t[p : p + 50] for p in range(len(t) - 49)]) for d, t in parts]
     for d, g in grams:
         for s in g:
@@ -331,7 +331,20 @@ def test_suffix_dedup(spark):
                 gone[p : p + 50] = True
         spans = int((np.diff(gone.astype(int), prepend=0) > 0).sum())
         want[None if d == last else d, len(t), int(gone.sum()), spans, sha(np.frombuffer(t, np.uint8)[~gone].tobytes())] += 1
-    assert got(suffix_dedup.remove_repeats(X.documents(spark, clash=True)), "doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256") == want
+    return want
+
+
+def test_suffix_dedup(spark):
+    assert got(suffix_dedup.remove_repeats(X.documents(spark, clash=True)), "doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256") == bytes_removed(X.rows())
+
+
+def test_suffix_dedup_of_a_passage_that_all_documents_have(spark):
+    r = random.Random(5)
+    some = lambda n: "".join(r.choice("abcdefgh ") for _ in range(n))
+    common = some(90)
+    rows = [(k // 2 * 3 - 50, some(r.randrange(120)) + common[r.randrange(20) :] + some(r.randrange(60)), "en") for k in range(300)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(7)
+    assert got(suffix_dedup.remove_repeats(docs), "doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256") == bytes_removed(rows)
 
 
 @given(st.lists(st.binary(max_size=60), max_size=5), st.integers(2, 9))
