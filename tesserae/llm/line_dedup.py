@@ -25,13 +25,22 @@ _ROWS = pa.schema([("kind", pa.int8()), ("h1", pa.int64()), ("h2", pa.int64()),
 DROP, OPEN, COUNT, HEAD = 0, 1, 2, 3
 
 
-def line_key(line: Column) -> Column:
-    return F.translate(F.btrim(line, F.lit(BLANKS)), UPPER, LOWER)
+def bare(line: Column) -> Column:
+    """The line without blanks at its ends; btrim, which reads a line character by character, sees only lines that have some."""
+    ends = F.substring(line, 1, 1).isin(*BLANKS) | F.substring(line, -1, 1).isin(*BLANKS)
+    return F.when(ends, F.btrim(line, F.lit(BLANKS))).otherwise(line)
+
+
+def lowered(line: Column) -> Column:
+    """A-Z lower-cased. Of ASCII lines that is lower(), which is faster than translate()."""
+    return F.when(F.octet_length(line) == F.char_length(line), F.lower(line)).otherwise(F.translate(line, UPPER, LOWER))
 
 
 def hashed_lines(docs: DataFrame, min_chars: int) -> DataFrame:
     split = docs.select("doc_id", text_hash().alias("th"), F.posexplode(F.split(F.coalesce("text", F.lit("")), "\n", -1)).alias("pos", "line"))
-    keyed = split.select("doc_id", "th", "pos", line_key(F.col("line")).alias("key")).where(F.char_length("key") >= min_chars)
+    # lower-casing keeps the length, so the filter needn't wait for it
+    stripped = split.select("doc_id", "th", "pos", bare(F.col("line")).alias("line")).where(F.char_length("line") >= min_chars)
+    keyed = stripped.select("doc_id", "th", "pos", lowered(F.col("line")).alias("key"))
     return keyed.select(F.xxhash64("key").alias("h1"), F.xxhash64(F.lit(8), "key").alias("h2"), "doc_id", "th", "pos")
 
 
