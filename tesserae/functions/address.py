@@ -23,7 +23,12 @@ def head(address: Column | str) -> Column:
 
 
 def proximity(a: Column | str, b: Column | str) -> Column:
-    x = head(a).bitwiseXOR(head(b))
+    return proximity_of_heads(head(a), head(b))
+
+
+def proximity_of_heads(a: Column, b: Column) -> Column:
+    """proximity, where each head was taken before rows were paired."""
+    x = a.bitwiseXOR(b)
     return F.when(x == 0, F.lit(MAX_PO)).otherwise(F.least(F.lit(MAX_PO), F.lit(32) - F.length(F.bin(x)))).cast("int")
 
 

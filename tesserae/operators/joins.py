@@ -19,12 +19,15 @@ def storers(chunks: DataFrame, nodes: DataFrame, depth: int, most: int | None =
 
     The order of nodes is the same for all chunks of a prefix, so nodes are ranked within it, before
     chunks are joined: what is sorted are nodes, and nothing beyond ``most`` of a prefix meets a chunk.
+    Without ``most`` there are as many rows as pairs: nodes pass by in order of rank, each with all its
+    chunks in a row, so that in columnar files an overlay and a rank are written once for each run.
     """
     order = Window.partitionBy("prefix").orderBy(F.col("rtt_ms").asc_nulls_last(), "overlay")
     ranked = _keyed(nodes, "overlay", depth).withColumn("rank", F.row_number().over(order))
+    chunks = _keyed(chunks, "address", depth)
     if most is not None:
-        ranked = ranked.where(F.col("rank") <= most)
-    return _keyed(chunks, "address", depth).join(ranked, "prefix")
+        return chunks.join(ranked.where(F.col("rank") <= most), "prefix")
+    return ranked.hint("merge").join(chunks, "prefix")  # a merge join streams its left side
 
 
 def covered(chunks: DataFrame, nodes: DataFrame, depth: int) -> DataFrame:

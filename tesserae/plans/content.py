@@ -93,8 +93,10 @@ def storers(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def storers_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every covering node of each chunk; storers has the first three."""
-    ranked = joins.storers(D.chunks(spark, sf_dir), D.nodes(spark, sf_dir), DEPTH)
-    price = S.peer_price(A.proximity("address", "overlay")).cast("bigint")
+    chunks = D.chunks(spark, sf_dir).withColumn("chunk_head", A.head("address"))
+    nodes = D.nodes(spark, sf_dir).withColumn("node_head", A.head("overlay"))
+    ranked = joins.storers(chunks, nodes, DEPTH)
+    price = S.peer_price(A.proximity_of_heads(F.col("chunk_head"), F.col("node_head"))).cast("bigint")
     return ranked.select("index", "overlay", F.col("rank").cast("bigint").alias("rank"), price.alias("price"))
 
 

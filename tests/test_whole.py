@@ -5,7 +5,7 @@ from __future__ import annotations
 import pytest
 
 from tesserae import catalog
-from tesserae.operators import aggregates, graph
+from tesserae.operators import aggregates, graph, joins
 from tesserae.sources import domain
 from tesserae.streaming import state
 from tests.oracle import DATA, connect
@@ -94,3 +94,21 @@ def test_merged_stream(spark, tmp_path):
     assert spark.read.parquet(to).count() == 4
     (tmp_path / "none").mkdir()
     assert state.merged_nodes(spark, state.merged_stream(spark, f"{tmp_path}/none", schema)).count() == 0
+
+
+def test_storers_of_all_ranks_lie_by_node(spark):
+    """A node's chunks come in a row, so files hold its overlay once for the run, and not 64 digits for each pair."""
+    chunks = spark.range(3000).selectExpr("id as index", "sha2(concat('c', id), 256) as address")
+    nodes = spark.range(500).selectExpr("sha2(concat('n', id), 256) as overlay", "if(id % 7 = 0, null, cast(id % 9 as int)) as rtt_ms")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")  # which may swap the sides of a small join
+    try:
+        got = joins.storers(chunks, nodes, 4).select("index", "overlay", "rank").collect()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
+    order = sorted((r.rtt_ms is None, r.rtt_ms or 0, r.overlay) for r in nodes.collect())
+    near: dict[str, list[str]] = {}
+    for *_, o in order:
+        near.setdefault(o[0], []).append(o)
+    want = [(r["index"], o, k) for r in chunks.collect() for k, o in enumerate(near.get(r.address[0], []), 1)]
+    assert sorted(map(tuple, got)) == sorted(want)
+    assert sum(a.overlay != b.overlay for a, b in zip(got, got[1:], strict=False)) + 1 == 500
