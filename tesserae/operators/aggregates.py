@@ -83,9 +83,23 @@ def upsert(sightings: DataFrame) -> DataFrame:
 
 
 def ledger_merge(entries: DataFrame) -> DataFrame:
-    """The largest amount per beneficiary. Amounts are decimal strings of up to 78 digits, compared as padded text."""
-    padded = F.lpad("amount", 78, "0")
-    return entries.groupBy(F.lower("beneficiary").alias("beneficiary")).agg(F.ltrim(F.max(padded), F.lit("0")).alias("amount")).withColumn("amount", F.when(F.col("amount") == "", "0").otherwise(F.col("amount")))
+    """The largest amount per beneficiary. Amounts are decimal strings of up to 78 digits.
+
+    A maximum of strings makes Spark sort all rows. So first, by hashing, the largest number of
+    digits with the first 36 of them is taken for each ending beyond these (trailing zeros apart,
+    few amounts have one); texts are compared among what is left.
+    """
+    digits = F.ltrim(F.col("amount"), F.lit("0"))
+    entries = entries.select(
+        F.lower("beneficiary").alias("beneficiary"),
+        F.concat(F.lpad(F.length(digits).cast("string"), 2, "0"), F.rpad(F.substring(digits, 1, 36), 36, "0")).cast("decimal(38,0)").alias("most"),
+        F.rtrim(F.substring(digits, 37, 78), F.lit("0")).alias("ending"),
+    )
+    few = entries.groupBy("beneficiary", "ending").agg(F.max("most").alias("most"))
+    head = F.lpad(F.col("most").cast("string"), 38, "0")
+    amount = F.rpad(F.concat(F.substring(head, 3, 36), "ending"), F.substring(head, 1, 2).cast("int"), F.lit("0"))
+    out = few.groupBy("beneficiary").agg(F.ltrim(F.max(F.lpad(amount, 78, "0")), F.lit("0")).alias("amount"))
+    return out.withColumn("amount", F.when(F.col("amount") == "", "0").otherwise(F.col("amount")))
 
 
 def peer_state(observations: DataFrame) -> DataFrame:

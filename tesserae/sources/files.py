@@ -107,13 +107,19 @@ def ledger_entries(lines: DataFrame, ours: str) -> DataFrame:
     torn = F.col("journal") & (F.col("n") == F.col("of")) & ~usable
     skipped = (text == "") | text.rlike("^#[0-9]+$") | torn
     fine = usable & ~F.col("line").contains("\0")
+    # most lines are one entry without a blank, which needs no parser; any other line takes the general way
+    plain = text.rlike(rf'^\{{"(?:(?i:{re.escape(ours)}):)?[0-9a-fA-F]{{40}}":"[0-9]{{1,78}}"\}}\z')
+    at = F.when(F.substring(text, 43, 1) == ":", 44).otherwise(3)
+    entry = F.create_map(F.substring(text, at, F.lit(40)), F.substring(text, at + 43, F.length(text) - at - 44))
     # one expression, as a filter on the map would be evaluated in any order with others
-    rows = lines.withColumn("map", F.when(skipped, F.create_map().cast("map<string,string>")).when(fine, parsed).otherwise(err("not a ledger line", F.col("path")).cast("map<string,string>")))
-    kv = rows.select(F.explode("map").alias("key", "amount"))
+    general = F.when(skipped, F.create_map().cast("map<string,string>")).when(fine, parsed).otherwise(err("not a ledger line", F.col("path")).cast("map<string,string>"))
+    rows = lines.select(plain.alias("plain"), F.when(plain, entry).otherwise(general).alias("map"))
+    # of a plain explode Spark makes a filter that parses every line once more
+    kv = rows.select("plain", F.explode_outer("map").alias("key", "amount")).where(F.col("key").isNotNull())
     bare, sectioned = F.col("key").rlike("^[0-9a-fA-F]{40}$"), F.col("key").rlike("^[0-9a-fA-F]{40}:[0-9a-fA-F]{40}$")
     own = F.lower(F.substring("key", 1, 40)) == ours.lower()
-    name = F.when(bare, F.col("key")).when(sectioned & own, F.substring("key", 42, 40)).when(sectioned, err("foreign section", F.col("key")).cast("string")).otherwise(err("unknown key", F.col("key")).cast("string"))
-    amount = F.when(F.col("amount").rlike("^[0-9]{1,78}$"), F.col("amount")).otherwise(err("not an amount", F.coalesce("amount", F.lit("null"))).cast("string"))
+    name = F.when(F.col("plain") | bare, F.col("key")).when(sectioned & own, F.substring("key", 42, 40)).when(sectioned, err("foreign section", F.col("key")).cast("string")).otherwise(err("unknown key", F.col("key")).cast("string"))
+    amount = F.when(F.col("plain") | F.col("amount").rlike("^[0-9]{1,78}$"), F.col("amount")).otherwise(err("not an amount", F.coalesce("amount", F.lit("null"))).cast("string"))
     return kv.select(F.lower(name).alias("beneficiary"), amount.alias("amount"))
 
 
