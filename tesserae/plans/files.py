@@ -194,9 +194,9 @@ def sighting_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sightings streamed in micro-batches into a merged table equal the merge of all."""
     path = shared_path(spark, "sightings")
     s = D.sightings(spark, sf_dir)
-    s.repartition(3, "seq").write.parquet(path)
+    each = files.write_parts(s, path, 3)
     schema = ", ".join(f"{n} {t}" for n, t in s.dtypes)
-    return state.merged_nodes(spark, state.merged_stream(spark, path, schema)).drop("underlays")
+    return state.merged_nodes(spark, state.merged_stream(spark, path, schema, files_per_trigger=each)).drop("underlays")
 
 
 @query()

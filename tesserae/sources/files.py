@@ -12,6 +12,8 @@ from tesserae.operators.rank import keep_first
 
 TOPOLOGY = "overlay_hex string, dialed_ok string, rtt_ms string, last_seen_ms string, underlays string"
 PEER_STATE = "overlay_hex string, threshold_last string, lambda_ms string, settled_units string, last_ok_unix string, service_cps_x10 string, surplus_units string"
+#: Rows of a file where a table is written in parts, so that no later task reads more at once.
+PART_ROWS = 500_000
 #: The first line of a resume sidecar, where the caller gives no other.
 SIDECAR_MAGIC = "resume-state v1"
 
@@ -170,6 +172,13 @@ def split_payload(files: DataFrame, size: int = 4096) -> DataFrame:
     return parts.select("path", F.col("index").cast("long").alias("index"), F.substring(F.col("content"), F.col("index") * size + 1, F.lit(size)).alias("data"))
 
 
+def write_parts(rows: DataFrame, path: str, parts: int, most: int = PART_ROWS) -> int:
+    """Writes rows to Parquet as they lie, in files of at most ``most`` rows and of at most a part of all; returns how many files make a part."""
+    size = max(1, min(-(-rows.count() // parts), most))
+    rows.write.option("maxRecordsPerFile", size).parquet(path)
+    return -(-max(1, len(rows.sparkSession.read.schema(rows.schema).parquet(path).inputFiles())) // parts)
+
+
 def append_rows(rows: DataFrame, path: str) -> None:
     """K2: appends measurement rows; Parquet carries the header."""
     rows.write.mode("append").parquet(path)

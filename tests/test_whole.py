@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 import pytest
+from pyspark.sql import functions as F
 
 from tesserae import catalog
 from tesserae.operators import aggregates, graph, joins
-from tesserae.sources import domain
+from tesserae.sources import domain, files
 from tesserae.streaming import state
-from tests.oracle import DATA, connect
+from tests.oracle import DATA, connect, differences
 
 SF = "sf0.001"
 needs_tables = pytest.mark.skipif(not DATA.exists(), reason="no tables here")
@@ -112,3 +113,34 @@ def test_storers_of_all_ranks_lie_by_node(spark):
     want = [(r["index"], o, k) for r in chunks.collect() for k, o in enumerate(near.get(r.address[0], []), 1)]
     assert sorted(map(tuple, got)) == sorted(want)
     assert sum(a.overlay != b.overlay for a, b in zip(got, got[1:], strict=False)) + 1 == 500
+
+
+@needs_tables
+def test_sightings_are_written_without_a_shuffle(spark, monkeypatch):
+    """No task gets a third of the table: files are as many as it takes, and three batches have all of them."""
+    from pyspark.sql.readwriter import DataFrameWriter
+
+    plans, triggers, write, merged = [], [], DataFrameWriter.parquet, state.merged_stream
+
+    def parquet(self, path, *a, **k):
+        plans.append((str(path), self._df._jdf.queryExecution().optimizedPlan().toString()))
+        return write(self, path, *a, **k)
+
+    def stream(spark, path, schema, files_per_trigger=1):
+        triggers.append((len(spark.read.parquet(path).inputFiles()), files_per_trigger))
+        return merged(spark, path, schema, files_per_trigger)
+
+    monkeypatch.setattr(DataFrameWriter, "parquet", parquet)
+    monkeypatch.setattr(state, "merged_stream", stream)
+    got = catalog.QUERIES["sighting_stream"](spark, f"{DATA}/{SF}")
+    (n, each), = triggers
+    assert n >= 3 and each == -(-n // 3) and not [p for to, p in plans if "/sightings-" in to and "Repartition" in p]
+    assert len([1 for to, _ in plans if "/merged-" in to]) == 3
+    assert not differences(got, catalog.ORACLE_SQL["sighting_stream"], connect(SF))
+
+
+def test_parts_have_bounded_files(spark, tmp_path):
+    assert files.write_parts(spark.range(1000, numPartitions=2), f"{tmp_path}/a", 3, most=40) == 9
+    sizes = [r["count"] for r in spark.read.parquet(f"{tmp_path}/a").groupBy(F.input_file_name()).count().collect()]
+    assert sum(sizes) == 1000 and max(sizes) == 40
+    assert files.write_parts(spark.range(0), f"{tmp_path}/none", 3) == 1 and spark.read.parquet(f"{tmp_path}/none").count() == 0
