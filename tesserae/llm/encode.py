@@ -27,20 +27,22 @@ _SPACE = re.compile(r"\s").search
 class _Memo(dict):
     """ids of pieces, None where a blank beside the piece need not be a cut; what it hasn't is noted down, to be filled in later."""
 
-    __slots__ = ("before", "new")
+    __slots__ = ("before", "kept", "new")
 
     def __init__(self, before: dict):
-        self.before, self.new = before, []
+        self.before, self.kept, self.new = before, [], []
 
     def __missing__(self, p: str) -> bytes | bytearray | None:
         x = self.before.get(p, self)
         if x is not self:
-            self[p] = x
+            self.kept.append(p)
         elif p.isalpha() or p and p != "\n" and not _SPACE(p, p[0] == "\n"):
-            x = self[p] = bytearray()
+            x = bytearray()
+            self.new.append(p)
         else:
-            x = self[p] = None
-        self.new.append(p)
+            x = None
+            self.kept.append(p)
+        self[p] = x
         return x
 
 
@@ -58,7 +60,7 @@ class Encoder:
         self.by_piece = self.by_piece and all(t.startswith("<|") for t in self.special)
         self.dtype = np.dtype("<u2" if self.lib.get_vocab_size() <= 1 << 16 else "<u4")
         self.known = _Memo({})
-        self.held = 0
+        self.held, self.remembered = 0, REMEMBERED
         self.tails = {c: self._whole([c])[0] for c in ",."}
         self.blank = np.array([(self.lib.id_to_token(k) or "").startswith("\u0120") for k in range(self.lib.get_vocab_size())])
 
@@ -68,15 +70,14 @@ class Encoder:
     def _learn(self) -> None:
         r"""Fills in the new pieces; one that starts with \n is a line's first, any other has a blank before it."""
         plain, first, ended = {}, [], []
-        known, new = self.known, self.known.new
+        known, new, kept = self.known, self.known.new, self.known.kept
+        get = known.get
         for p in new:
-            if type(known[p]) is not bytearray:
-                continue
             if p[0] == "\n":
                 first.append(p)
             elif p[-1] in ",." and p[-2:-1].isalnum():  # after a letter or digit a mark is always cut off
                 ended.append(p)
-                if not known.get(p[:-1]):
+                if not get(p[:-1]):
                     plain[p[:-1]] = None
             else:
                 plain[p] = None
@@ -95,14 +96,15 @@ class Encoder:
         for p in ended:
             found[p] = (found.get(p[:-1]) or known[p[:-1]]) + self.tails[p[-1]]
         for p, ids in found.items():
-            if p in known:
-                known[p] += ids  # where texts of this batch have it
+            if (x := get(p)) is not None:
+                x += ids  # where texts of this batch have it
             known[p] = ids
-        self.held += sum(map(len, new)) + sum(map(len, found.values())) + _EACH * len(new)
+        self.held += sum(map(len, new)) + sum(map(len, kept)) + sum(map(len, found.values())) + _EACH * (len(new) + len(kept))
         new.clear()
+        kept.clear()
 
     def _aged(self) -> None:
-        if self.held > REMEMBERED:
+        if self.held > self.remembered:
             old = self.known
             old.before = {}
             self.known, self.held = _Memo(old), 0
@@ -143,9 +145,10 @@ class Encoder:
 _ENCODERS: dict[str, Encoder] = {}
 
 
-def encoder(path: str) -> Encoder:
-    """The worker's encoder for a tokenizer file, which every worker has at this path."""
+def encoder(path: str, remembered: int = REMEMBERED) -> Encoder:
+    """The worker's encoder for a tokenizer file, which every worker has at this path; from now on it remembers so many bytes a generation."""
     alone(_ENCODERS)
     if path not in _ENCODERS:
         _ENCODERS[path] = Encoder(path)
+    _ENCODERS[path].remembered = remembered
     return _ENCODERS[path]

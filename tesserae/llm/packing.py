@@ -17,14 +17,13 @@ nothing is shuffled.
 from __future__ import annotations
 
 import zlib
-from collections import deque
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from tesserae.llm.encode import encoder
+from tesserae.llm.encode import REMEMBERED, encoder
 from tesserae.llm.text import blocks, map_arrow
 
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
@@ -41,27 +40,40 @@ def cuts(n: int, ends: np.ndarray, sentences: np.ndarray, length: int = 1024, at
     pos = np.flatnonzero(least >= 0)
     gap = np.diff(pos)
     if (wide := np.flatnonzero(gap > grid)).size:
-        more = np.concatenate([np.arange(pos[k] + grid, pos[k + 1], grid) for k in wide])
-        least[more] = elsewhere
+        count = (gap[wide] - 1) // grid
+        nth = np.arange(1, count.sum() + 1) - np.repeat(np.cumsum(count) - count, count)
+        least[np.repeat(pos[wide], count) + nth * grid] = elsewhere
         pos = np.flatnonzero(least >= 0)
+    # the cuts a power of two before each, by the later cut and then by the power
+    place = np.full(n + 1, -1, np.int32)
+    place[pos] = np.arange(len(pos))
+    later, before = [], []
+    for k in range(5, max(5, (length - 1).bit_length())):
+        some = np.searchsorted(pos, 1 << k)
+        have = place[pos[some:] - (1 << k)]
+        later.append(np.flatnonzero(have >= 0) + some)
+        before.append(have[have >= 0])
+    later, before = np.concatenate([*later, [len(pos)]]).astype(np.int64), np.concatenate([*before, [0]])
+    order = np.argsort(later, kind="stable")
+    later, before, c = later[order].tolist(), before[order].tolist(), 0
     penalty, pos = least[pos].tolist(), pos.tolist()
-    where = {p: k for k, p in enumerate(pos)}.get
-    powers = [1 << k for k in range(5, max(5, (length - 1).bit_length()))]
     f, g, back = [0] * len(pos), [0] * len(pos), [0] * len(pos)
-    queue: deque[int] = deque()
+    queue, first = [], 0  # what stands before first has left the window
     for j in range(1, len(pos)):
         at, new = pos[j], g[j - 1]
-        while queue and g[queue[-1]] >= new:
+        while len(queue) > first and g[queue[-1]] >= new:
             queue.pop()
         queue.append(j - 1)
-        while pos[queue[0]] < at - length:
-            queue.popleft()
-        i = queue[0]
+        i = queue[first]
+        while pos[i] < at - length:
+            first += 1
+            i = queue[first]
         best = g[i] + length - at
-        for p in powers:
-            k = where(at - p)
-            if k is not None and f[k] < best:
+        while later[c] == j:
+            k = before[c]
+            if f[k] < best:
                 best, i = f[k], k
+            c += 1
         f[j], back[j] = best + penalty[j], i
         g[j] = f[j] + at
     out, j = [n], len(pos) - 1
@@ -124,10 +136,11 @@ def sentence_ends(path: str) -> np.ndarray:
     return np.array([(lib.id_to_token(k) or "").endswith((".", "!", "?", "Ċ")) for k in range(lib.get_vocab_size())])
 
 
-def pack(docs: DataFrame, tokenizer: str, length: int = 1024, end_id: int = 0) -> DataFrame:
+def pack(docs: DataFrame, tokenizer: str, length: int = 1024, end_id: int = 0, remembered: int = REMEMBERED) -> DataFrame:
     """The pieces of documents in sequences: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset.
 
-    tokenizer: path of a tokenizers file on every worker. A null or empty text has end_id alone.
+    tokenizer: path of a tokenizers file on every worker. remembered: bytes of encoded pieces that a
+    worker holds in each of two generations; it changes the time, not the result. A null or empty text has end_id alone.
     Repeated rows are packed as often as they come; a null doc_id stays null; an empty table has no
     pieces; a text longer than a window is cut as often as it must be. sequence_id is unique
     over the table: partition number times 2^33 plus the sequence's number in it. Only the last
@@ -138,7 +151,7 @@ def pack(docs: DataFrame, tokenizer: str, length: int = 1024, end_id: int = 0) -
         from pyspark import TaskContext
 
         packer = Packer(sentence_ends(tokenizer), TaskContext.get().partitionId() << 33, length)
-        lib = encoder(tokenizer)
+        lib = encoder(tokenizer, remembered)
         end = np.array([end_id], lib.dtype)
 
         def out(rows: list[tuple]) -> pa.RecordBatch:

@@ -669,3 +669,39 @@ def test_nothing(spark):
         packing.pack(e, BPE), simhash.near_groups(e), simhash.one_of_each(e), suffix_dedup.remove_repeats(e), token_count.count_tokens(e, BPE), line_dedup.dedup_lines(e), id_planes.round_trip(e, BPE), lang_id.identify(e), lang_id.accepted(e),
     ):
         assert df.count() == 0
+
+
+def test_encoder_remembers_what_it_is_told_to(monkeypatch):
+    """A caller with room has pieces encoded once; without it they are forgotten and encoded again, with the same ids."""
+    rng = random.Random(5)
+    texts = [" ".join("".join(rng.choices("abcdefgh", k=7)) for _ in range(300)) for _ in range(40)]
+    want = [e.ids for e in encode.Encoder(BPE).lib.encode_batch(texts, add_special_tokens=False)]
+    asked = {}
+    for room in (20_000, 10_000_000):
+        lib = encode.encoder(BPE, remembered=room)
+        lib.known, lib.held, count = encode._Memo({}), 0, []
+        monkeypatch.setattr(lib, "_whole", lambda some, whole=encode.Encoder._whole, lib=lib, count=count: count.append(len(some[0])) or whole(lib, some))
+        for _ in (0, 1):
+            assert [x.tolist() for k in range(40) for x in lib.encode(texts[k : k + 1])] == want
+        asked[room] = sum(count)
+        monkeypatch.undo()
+    assert asked[10_000_000] * 1.8 < asked[20_000]
+
+
+def test_cuts_are_the_best_at_all_lengths():
+    """The least cost by a plain loop over all earlier cuts, powers of two and grids included."""
+    rng = np.random.default_rng(3)
+    for length in (32, 48, 64, 256, 1024):
+        for n in (1, 31, 200, 1500):
+            ends = np.unique(rng.integers(1, n + 1, max(1, n // 90)))
+            sentences = np.unique(rng.integers(1, n + 1, max(1, n // 25)))
+            fee = {int(p): 1 for p in sentences} | {int(p): 0 for p in ends} | {0: 0, n: 0}
+            for a, b in zip(at := sorted(fee), at[1:], strict=False):
+                fee |= dict.fromkeys(range(a + 32, b, 32), 2)
+            pad = lambda k: 0 if k >= 32 and k & (k - 1) == 0 else length - k
+            best = {0: 0}
+            for j in sorted(fee)[1:]:
+                best[j] = fee[j] + min(best[i] + pad(j - i) for i in best if j - i <= length)
+            got = packing.cuts(n, ends, sentences, length)
+            assert got[0] == 0 and got[-1] == n and set(got) <= set(fee)
+            assert sum(fee[b] + pad(b - a) for a, b in zip(got, got[1:], strict=False)) == best[n]
