@@ -35,19 +35,16 @@ _CHUNKS_DDL = "file int, first long, n int, planes array<binary>, docs array<str
 def to_planes(ids: np.ndarray, level: int = 3) -> list[bytes]:
     """Compressed bit planes, the lowest bit first; the last byte of a plane is padded with zeros."""
     bits = int(ids.max()).bit_length() if len(ids) else 0
-    wide = -(-bits // 8)
-    raw = np.ascontiguousarray(ids.astype("<u4").view(np.uint8).reshape(-1, 4)[:, :wide])
-    flat = np.unpackbits(raw, axis=1, bitorder="little")[:, :bits]
     pack = zstandard.ZstdCompressor(level=level).compress
-    return [pack(p.tobytes()) for p in np.packbits(np.ascontiguousarray(flat.T), axis=1, bitorder="little")]
+    return [pack(np.packbits(ids & ids.dtype.type(1 << k) != 0, bitorder="little").tobytes()) for k in range(bits)]
 
 
 def from_planes(planes: list[bytes], n: int) -> np.ndarray:
-    out = np.zeros((n, 32), np.uint8)
+    out = np.zeros(n, "<u4")
     unpack = zstandard.ZstdDecompressor().decompress
     for k, p in enumerate(planes):
-        out[:, k] = np.unpackbits(np.frombuffer(unpack(p), np.uint8), bitorder="little", count=n)
-    return np.packbits(out, axis=1, bitorder="little").view("<u4").reshape(-1)
+        out |= np.unpackbits(np.frombuffer(unpack(p), np.uint8), bitorder="little", count=n).astype("<u4") << k
+    return out
 
 
 def write_ids(docs: DataFrame, path: str, tokenizer: str, end_id: int = 2) -> None:

@@ -705,3 +705,32 @@ def test_cuts_are_the_best_at_all_lengths():
             got = packing.cuts(n, ends, sentences, length)
             assert got[0] == 0 and got[-1] == n and set(got) <= set(fee)
             assert sum(fee[b] + pad(b - a) for a, b in zip(got, got[1:], strict=False)) == best[n]
+
+
+def test_encoder_holds_many_pieces_in_its_room(monkeypatch):
+    """6000 short pieces fit into 400,000 bytes: the library gets each once."""
+    rng = random.Random(7)
+    texts = [" ".join("".join(rng.choices("abcdefgh", k=7)) for _ in range(300)) for _ in range(20)]
+    lib = encode.Encoder(BPE)
+    want = [e.ids for e in lib.lib.encode_batch(texts, add_special_tokens=False)]
+    lib.remembered, asked = 400_000, []
+    monkeypatch.setattr(lib, "_whole", lambda some: asked.extend(some) or encode.Encoder._whole(lib, some))
+    for n in (1, 0):
+        assert [x.tolist() for k in range(20) for x in lib.encode(texts[k : k + 1])] == want
+        assert (sum(map(len, asked)) > 0) == n
+        asked.clear()
+
+
+@pytest.mark.parametrize("room", [50_000, 70_000_000])
+def test_encoder_with_many_pieces_of_any_length(room):
+    """Pieces about as long as a key, zeros at their ends, marks, wide white space; tables grow and generations change amid them."""
+    rng = random.Random(11)
+    letters = ["a", "b", "r", "é", "Ġ", "日", "\0", "1", ",", ".", "'s", *map(chr, (0x2009, 0x3000, 0x85, 0x200B, 9))]
+    often = [50, 50, 50, 3, 1, 3, 3, 3, 2, 2, 1, 0.1, 0.1, 0.1, 0.1, 0.1]
+    pieces = ["".join(rng.choices(letters, often, k=rng.choice((1, 2, 5, 13, 14, 15, 16, 40)))) + rng.choice(("", "", ",", ".", "\0", "\0\0")) for _ in range(9000)]
+    texts = ["".join(p + rng.choice("          \n") for p in rng.choices(pieces, k=200))[rng.choice((0, 0, 5)) : rng.choice((None, -1))] for _ in range(100)]
+    lib = encode.Encoder(BPE)
+    lib.remembered = room
+    want = [e.ids for e in lib.lib.encode_batch(texts, add_special_tokens=False)]
+    for _ in (0, 1):
+        assert [x.tolist() for k in range(0, 100, 7) for x in lib.encode(texts[k : k + 7])] == want
