@@ -12,19 +12,22 @@ segment.
    again with its least and greatest document. Each bucket orders the suffixes at its windows by
    deep-shallow sorting: multikey quicksort by characters of eight bytes to a shallow depth, then
    blind tries for groups that still agree. Neighbours that agree over the whole window are one
-   string, and its smallest document is known.
+   string, and its smallest document is known. Anchors are taken as many at a time as have a bounded
+   number of windows; the windows of one that has more are dealt to passes by their hash.
 3. That document comes back for each string, by runs of windows, to the buckets of documents, which
    look up where they have the string and drop the bytes that are covered.
 
 So an anchor or a segment that a third of all documents have counts once for each bucket, not for
 each document. What is shuffled are compressed blocks of numbers; texts travel zstandard-compressed.
+There are as many buckets as partitions, and more where these would have over 20 MB of text each: a
+partition's buckets come one after another, so memory grows with a bucket and not with the input.
 """
 
 from __future__ import annotations
 
 import hashlib
 import pickle
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -38,6 +41,8 @@ from tesserae.llm.text import map_arrow, ship, text_hash, width
 LAST = (1 << 63) - 1
 _CHUNK = 60_000
 _LOW = np.uint64(0xFFFF)
+#: Bytes of text of a bucket of documents, and windows that are ordered at once (about 150 bytes each).
+BUCKET, WINDOWS = 20_000_000, 1_000_000
 
 
 def _packed(*arrays: np.ndarray | bytes | int) -> bytes:
@@ -216,6 +221,55 @@ def deep_shallow(text: bytes, starts: np.ndarray, size: int, shallow: int = 24)
     return order, same
 
 
+def _passes(text: bytes, starts: Callable[[np.ndarray], np.ndarray], total: int, size: int, most: int) -> Iterator[np.ndarray]:
+    """The numbers of all windows in parts of about ``most``, equal windows in one part; ``starts`` has where a number's window lies in text."""
+    parts = -(-total // most)
+    if parts < 2:
+        yield np.arange(total)
+        return
+    words = np.lib.stride_tricks.sliding_window_view(np.frombuffer(text, np.uint8), 8)
+    part = np.empty(total, np.uint16)
+    for c in range(0, total, _CHUNK):
+        at = starts(np.arange(c, min(c + _CHUNK, total)))
+        h = np.zeros(len(at), np.uint64)
+        for k in range(0, size, 8):
+            word = words[at + k].view("<u8").reshape(-1)
+            if size - k < 8:  # the bytes beyond the window
+                word = word & np.uint64((1 << 8 * (size - k)) - 1)
+            h = (h ^ word) * np.uint64(0xD6E8FEB86659FD93)
+            h ^= h >> np.uint64(29)
+        part[c : c + len(at)] = h % np.uint64(min(parts, 65535))
+    for k in range(min(parts, 65535)):
+        yield np.flatnonzero(part == k)
+
+
+def least_of_windows(text: bytes, begin: np.ndarray, windows: np.ndarray, least: np.ndarray, size: int, most: int = WINDOWS) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(string, first window, number of windows, document) of runs of windows that have one least document.
+
+    String k begins at ``begin[k]``, has ``windows[k]`` windows (one at least) and ``least[k]`` for its
+    least document; a window's is the least of all strings that have it. ``text`` goes on for 8 bytes.
+    """
+    edge = np.r_[0, np.cumsum(windows)]
+    used, code = np.unique(least, return_inverse=True)
+    low = np.empty(edge[-1], np.uint32)
+    string = lambda at: np.searchsorted(edge, at, side="right") - 1
+
+    def starts(at: np.ndarray) -> np.ndarray:
+        of = string(at)
+        return begin[of] + at - edge[of]
+
+    for at in _passes(text, starts, int(edge[-1]), size, most):
+        if len(at):
+            order, same = deep_shallow(text, starts(at), size)
+            at = at[order]
+            low[at] = np.minimum.reduceat(code[string(at)], np.flatnonzero(~same))[np.cumsum(~same) - 1]
+    new = np.r_[True, low[1:] != low[:-1]]
+    new[edge[:-1]] = True
+    at = np.flatnonzero(new)
+    of = string(at)
+    return of, at - edge[of], np.diff(np.r_[at, edge[-1]]), used[low[at]]
+
+
 def _joined(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(b"".join(texts), np.uint8), np.cumsum([len(t) for t in texts])
 
@@ -288,7 +342,8 @@ def remove_repeats(docs: DataFrame, size: int = 50, gram: int = 20) -> DataFrame
     """
     spark = docs.sparkSession
     ship(spark)
-    n, made = width(spark), Segments(size, gram)
+    held = docs.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
+    n, made = max(width(spark), -(-held // BUCKET)), Segments(size, gram)
 
     def compress(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -399,16 +454,14 @@ def remove_repeats(docs: DataFrame, size: int = 50, gram: int = 20) -> DataFrame
         _, kind, kinds = np.unique(np.array(anchor, np.uint64), return_inverse=True, return_counts=True)
         some, rest = np.flatnonzero(kinds[kind] > 1), np.flatnonzero(kinds[kind] == 1)
         runs = [(rest, np.zeros(len(rest), np.int64), windows[rest], least[rest])]
-        if len(some):
-            text = b"".join(strings[k] for k in some.tolist()) + b"\0" * 8
-            begin = np.r_[0, np.cumsum([len(strings[k]) for k in some.tolist()])[:-1]]
-            of = np.repeat(some, windows[some])
-            offset = np.arange(len(of)) - np.repeat(np.cumsum(windows[some]) - windows[some], windows[some])
-            order, same = deep_shallow(text, np.repeat(begin, windows[some]) + offset, size)
-            low = np.empty(len(of), np.int64)
-            low[order] = np.minimum.reduceat(least[of[order]], np.flatnonzero(~same))[np.cumsum(~same) - 1]
-            at = np.flatnonzero(np.r_[True, (of[1:] != of[:-1]) | (low[1:] != low[:-1])])
-            runs.append((of[at], offset[at], np.diff(np.r_[at, len(of)]), low[at]))
+        some = some[np.argsort(kind[some], kind="stable")]
+        first = np.flatnonzero(np.r_[True, np.diff(kind[some]) != 0][: len(some)])
+        before = (np.cumsum(windows[some]) - windows[some])[first]  # windows of the kinds before
+        for group in np.split(some, first[1:][np.diff(before // WINDOWS) > 0]) if len(some) else ():
+            text = b"".join(strings[k] for k in group.tolist()) + b"\0" * 8
+            begin = np.cumsum(windows[group] + size - 1) - windows[group] - size + 1
+            of, *run = least_of_windows(text, begin, windows[group], least[group], size)
+            runs.append((group[of], *run))
         of, offset, count, low = (np.concatenate(x) for x in zip(*runs, strict=True))
         order = np.argsort(of, kind="stable")
         edge = np.searchsorted(of[order], np.arange(len(strings) + 1))

@@ -366,6 +366,42 @@ def test_deep_shallow(parts, shallow):
     assert strings == sorted(strings) and same.tolist() == [k > 0 and strings[k] == strings[k - 1] for k in range(len(strings))]
 
 
+@given(st.lists(st.tuples(st.lists(st.sampled_from([b"a", b"b", b"ab"]), min_size=20, max_size=40), st.integers(0, 5)), min_size=1, max_size=20), st.integers(1, 300), st.sampled_from([3, 8, 13, 20]))
+@settings(max_examples=80, deadline=None)
+def test_least_of_windows(strings, most, size):
+    strings = [(b"".join(p), low) for p, low in strings]
+    windows = np.array([len(s) - size + 1 for s, _ in strings])
+    begin = np.cumsum([0, *(len(s) for s, _ in strings[:-1])])
+    want: dict[bytes, int] = {}
+    for s, low in strings:
+        for k in range(len(s) - size + 1):
+            want[s[k : k + size]] = min(low, want.get(s[k : k + size], low))
+    runs = suffix_dedup.least_of_windows(b"".join(s for s, _ in strings) + b"\0" * 8, begin, windows, np.array([low for _, low in strings]), size, most)
+    got_ = [(k, a + j, low) for k, a, n, low in zip(*(x.tolist() for x in runs), strict=True) for j in range(n)]
+    assert got_ == [(k, a, want[s[a : a + size]]) for k, (s, _) in enumerate(strings) for a in range(len(s) - size + 1)]
+
+
+def test_windows_of_one_anchor_are_ordered_in_bounded_parts(monkeypatch):
+    """A passage that many documents have amid other texts: one anchor with many windows."""
+    r, size, sizes, order = random.Random(6), 50, [], suffix_dedup.deep_shallow
+    some = lambda n: bytes(r.choices(range(97, 123), k=n))
+    middle = some(20)
+    strings = [some(30) + middle + some(30) for _ in range(400)]
+    monkeypatch.setattr(suffix_dedup, "deep_shallow", lambda text, starts, n: (sizes.append(len(starts)), order(text, starts, n))[1])
+    suffix_dedup.least_of_windows(b"".join(strings) + b"\0" * 8, np.arange(400) * 80, np.full(400, 31), np.arange(400), size, most=1000)
+    assert sum(sizes) == 400 * 31 and max(sizes) < 1500
+
+
+def test_suffix_dedup_with_more_buckets_than_partitions(spark, monkeypatch):
+    """A bucket has a bounded amount of text, whatever the number of partitions is."""
+    sent, map_arrow = [], suffix_dedup.map_arrow
+    monkeypatch.setattr(suffix_dedup, "BUCKET", 1000, raising=False)
+    monkeypatch.setattr(suffix_dedup, "map_arrow", lambda *a: sent.append(map_arrow(*a)) or sent[0])
+    out = suffix_dedup.remove_repeats(X.documents(spark))
+    assert got(out, "doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256") == bytes_removed(X.rows())
+    assert sent[0].select("bucket").distinct().count() > 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
 # 6
 
 
