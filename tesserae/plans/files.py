@@ -66,16 +66,19 @@ def peer_state_file(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("select substr(sha256(l_suppkey::varchar), 1, 40) as beneficiary, cast(max(l_orderkey) as varchar) || repeat('0', 24) as amount from lineitem group by 1")
 def ledger_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A base of one object and journals of a line each, with commit marks and a torn last line, parsed as they lie."""
-    ours = "ab" * 20
-    li = D.table(spark, sf_dir, "lineitem")
+    """A third each as a base of one object with the largest amounts so far, as the old journal and as the journal of a line each, with commit marks and a torn last line; written, read back and merged."""
+    ours, path = "ab" * 20, shared_path(spark, "ledger")
+    li = D.table(spark, sf_dir, "lineitem").withColumn("sectioned", F.col("l_linenumber") % 2 == 0)
     who = F.substring(F.sha2(F.col("l_suppkey").cast("string"), 256), 1, 40)
-    key = F.when(F.col("l_linenumber") % 2 == 0, F.concat(F.lit(ours + ":"), who)).otherwise(who)
-    line = F.to_json(F.create_map(key, F.concat(F.col("l_orderkey").cast("string"), F.lit("0" * 24))))
-    rows = li.select(line.alias("line"), F.lit(1).alias("n"), F.lit(2).alias("of"))
-    extra = spark.createDataFrame([("#12", 1, 2), ('{"ab', 2, 2), ("", 1, 2)], "line string, n int, of int")
-    lines = rows.union(extra).withColumn("path", F.lit("journal")).withColumn("journal", F.lit(True))
-    return aggregates.ledger_merge(files.ledger_entries(lines, ours))
+    key = F.when(F.col("sectioned"), F.concat(F.lit(ours + ":"), who)).otherwise(who).alias("key")
+    amount = F.concat(F.col("l_orderkey").cast("string"), F.lit("0" * 24)).alias("amount")
+    third = lambda k: li.where(F.pmod("l_orderkey", F.lit(3)) == k)
+    mark = F.when(F.pmod("l_orderkey", F.lit(64)) == 0, F.concat(F.lit("\n#"), F.col("l_linenumber").cast("string"))).otherwise("")
+    line = F.concat(F.to_json(F.create_map(key, amount)), mark).alias("line")
+    files.write_ledger(third(0).groupBy("l_suppkey", "sectioned").agg(F.max("l_orderkey").alias("l_orderkey")).select(key, amount), path)
+    files.write_journal(third(1).select(line), path + ".journal.old")
+    files.write_journal(third(2).select(line), path + ".journal", torn='#12\n\n{"ab')
+    return files.read_ledger(spark, path, ours)
 
 
 def _chunk_index(spark: SparkSession, sf_dir: str, end: int) -> DataFrame:

@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+import functools
 import re
+from urllib.parse import unquote
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tesserae.functions.address import dialable, parse_hex
 from tesserae.operators.rank import keep_first
+from tesserae.session import settled
 
 TOPOLOGY = "overlay_hex string, dialed_ok string, rtt_ms string, last_seen_ms string, underlays string"
 PEER_STATE = "overlay_hex string, threshold_last string, lambda_ms string, settled_units string, last_ok_unix string, service_cps_x10 string, surplus_units string"
@@ -16,6 +19,8 @@ PEER_STATE = "overlay_hex string, threshold_last string, lambda_ms string, settl
 PART_ROWS = 500_000
 #: The first line of a resume sidecar, where the caller gives no other.
 SIDECAR_MAGIC = "resume-state v1"
+#: White space of JSON.
+_BLANKS = " \t\r\n"
 
 
 def _number(c: str, kind: str = "bigint") -> Column:
@@ -125,23 +130,89 @@ def ledger_entries(lines: DataFrame, ours: str) -> DataFrame:
     return kv.select(F.lower(name).alias("beneficiary"), amount.alias("amount"))
 
 
+def write_ledger(entries: DataFrame, path: str) -> None:
+    """K5: a ledger's base of (key, amount), each key once: one object, an entry to a line, sorted; the files of the folder are its parts in order of their names."""
+    entries = settled(entries)
+    first, last = entries.agg(F.min("key"), F.max("key")).first()
+    if first is None:
+        put_text(entries.sparkSession, f"{path}/part-00000", "{\n}")
+        return
+    before, after = F.when(F.col("key") == first, "{\n").otherwise(""), F.when(F.col("key") == last, "\n}").otherwise(",")
+    line = F.concat(before, F.lit('  "'), "key", F.lit('": "'), "amount", F.lit('"'), after)
+    entries.repartitionByRange("key").sortWithinPartitions("key").select(line).write.option("lineSep", "\n").text(path)
+
+
+def write_journal(lines: DataFrame, path: str, torn: str = "") -> None:
+    """A ledger's journal of (line); torn: a last line that was cut off, so no newline follows it."""
+    lines.select("line").write.option("lineSep", "\n").text(path)
+    if torn:
+        put_text(lines.sparkSession, f"{path}/torn", torn)  # by its name after all parts
+
+
+def put_text(spark: SparkSession, path: str, text: str) -> None:
+    """A small file with just this text."""
+    to = spark._jvm.org.apache.hadoop.fs.Path(path)
+    out = to.getFileSystem(spark._jsc.hadoopConfiguration()).create(to, False)
+    out.write(bytearray(text.encode()))
+    out.close()
+
+
+def _pieces(spark: SparkSession, path: str, separator: str, file: str | None = None) -> DataFrame:
+    """Text between separators, with the file (of a folder the files are parts in order of their names), its size and the place in it. file: only what this one has."""
+    raw = spark.read.option("lineSep", separator).text(path)
+    if file is not None:  # before the place, which nothing is pushed below: no other file is opened
+        raw = raw.where(F.col("_metadata.file_name") == file)
+    place = F.struct(F.col("_metadata.file_block_start"), F.monotonically_increasing_id())  # a block is read in one go
+    return raw.select("value", F.col("_metadata.file_name").alias("file"), F.col("_metadata.file_size").alias("size"), place.alias("place"))
+
+
+def _ended() -> Column:
+    """Whether the pieces of a file are all followed by a separator, the last one too."""
+    return (F.sum(F.octet_length("value") + 1) == F.max("size")).alias("ended")
+
+
+def _base_lines(spark: SparkSession, path: str) -> DataFrame:
+    """Entries of a base, each as an object of its own. No sound entry holds a comma or a brace, so files of any size are read in parallel by commas; then what lies around the entries must be one object's."""
+    inner = F.btrim(F.regexp_replace(F.btrim("value", F.lit(_BLANKS)), r"^\{|\}$", ""), F.lit(_BLANKS))
+    pieces = _pieces(spark, path, ",").withColumn("inner", inner)
+    end, number = lambda f: F.btrim(f("value", "place"), F.lit(_BLANKS)), lambda c: F.sum(F.length("value") - F.length(F.replace("value", F.lit(c), F.lit(""))))
+    parts = pieces.groupBy("file").agg(
+        end(F.min_by).alias("head"), end(F.max_by).alias("tail"), F.count("*").alias("n"), F.count_if(F.col("inner") == "").alias("blank"), number("{").alias("opens"), number("}").alias("closes"), _ended(),
+    )
+    parts = sorted(parts.collect(), key=lambda r: r.file)
+    sound = parts and sum(r.opens for r in parts) == sum(r.closes for r in parts) == 1 and parts[0].head.startswith("{") and parts[-1].tail.endswith("}") and not parts[-1].ended
+    # a comma stands between two entries, also where a part ends, and nowhere else
+    sound = sound and (sum(r.n for r in parts) == 1 or not parts[-1].blank and all(r.blank == (not r.ended) and (r.ended or not r.tail) for r in parts[:-1]))
+    if not sound:
+        raise ValueError(f"{path} isn't one object of entries")
+    lines = pieces.where("inner <> ''").select(F.concat(F.lit("{"), "inner", F.lit("}")).alias("line"))
+    return lines.select("line", F.lit(0).alias("n"), F.lit(1).alias("of"), F.lit(path).alias("path"), F.lit(False).alias("journal"))
+
+
+def _journal_lines(spark: SparkSession, path: str) -> DataFrame:
+    """Lines of a journal; n = of marks the last one if no newline follows it, which may be torn."""
+    lines = _pieces(spark, path, "\n")
+    last = max((unquote(f.rsplit("/", 1)[1]) for f in lines.inputFiles()), default=None)
+    own = _pieces(spark, path, "\n", last)
+    end = own.agg(F.max_by("value", "place").alias("line"), _ended()).first() if last else None
+    torn = F.lit(False)
+    # a line like it that stands before it is damage
+    if end and end.ended is False and own.where(F.col("value") == end.line).count() == 1:
+        torn = (F.col("file") == last) & (F.col("value") == end.line)
+    return lines.select(F.col("value").alias("line"), torn.cast("int").alias("n"), F.lit(1).alias("of"), F.lit(path).alias("path"), F.lit(True).alias("journal"))
+
+
 def read_ledger(spark: SparkSession, base: str, ours: str) -> DataFrame:
-    """A ledger's base file with its journals beside it, merged; a missing file is empty, a .lost marker an error."""
+    """A ledger's base file with its journals beside it, merged; a missing file is empty, a .lost marker an error. Each is a file, or a folder of its parts."""
     from tesserae.operators.aggregates import ledger_merge
 
     there = lambda p: spark._jvm.org.apache.hadoop.fs.Path(p).getFileSystem(spark._jsc.hadoopConfiguration()).exists(spark._jvm.org.apache.hadoop.fs.Path(p))
     if there(base + ".lost"):
         raise ValueError(f"{base} is marked lost")
-    out = None
-    for suffix in ("", ".journal.old", ".journal"):
-        if there(base + suffix):
-            whole = spark.read.text(base + suffix, wholetext=True).select(F.split("value", "\n").alias("lines"))
-            whole = whole.withColumn("of", F.array_max(F.transform("lines", lambda x, i: F.when(F.trim(x) != "", i))))
-            lines = whole.select("of", F.posexplode("lines").alias("n", "line")).withColumn("path", F.lit(base + suffix)).withColumn("journal", F.lit(bool(suffix)))
-            out = lines if out is None else out.union(lines)
-    if out is None:
+    found = [(_journal_lines if suffix else _base_lines)(spark, base + suffix) for suffix in ("", ".journal.old", ".journal") if there(base + suffix)]
+    if not found:
         return spark.createDataFrame([], "beneficiary string, amount string")
-    return ledger_merge(ledger_entries(out, ours))
+    return ledger_merge(ledger_entries(functools.reduce(DataFrame.union, found), ours))
 
 
 def read_chunk_index(spark: SparkSession, path: str, magic: str, data_end: int) -> DataFrame:

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import json
+import re
+
 import pytest
 from hypothesis import given
 from hypothesis import strategies as st
@@ -111,6 +114,90 @@ def test_ledger_files(spark, tmp_path):
         files.read_ledger(spark, base, "cd" * 20)
 
 
+def loaded(base: str | None, journals: list[str], ours: str) -> dict[str, int] | None:
+    """A ledger by plain loops; nothing where it can't be accounted for."""
+    out: dict[str, int] = {}
+
+    def merge(text: str) -> bool:
+        try:
+            pairs = json.loads(text, object_pairs_hook=list)
+        except ValueError:
+            return False
+        for key, amount in pairs if isinstance(pairs, list) and text.lstrip()[:1] == "{" else [("", "")]:
+            if not re.fullmatch(f"({ours}:)?[0-9a-fA-F]{{40}}", key) or isinstance(amount, list) or not re.fullmatch("[0-9]+", str(amount)):
+                return False
+            out[key[-40:].lower()] = max(int(amount), out.get(key[-40:].lower(), 0))
+        return True
+
+    sound = base is None or merge(base)
+    for text in journals:
+        lines = text.split("\n")
+        for k, line in enumerate(lines):
+            sound &= not line.strip() or bool(re.fullmatch("#[0-9]+", line)) or merge(line) or k + 1 == len(lines)
+    return out if sound else None
+
+
+LEDGER_A, LEDGER_B = f'"{"ab" * 20}": "5"', f'"{"cd" * 20}:{"EF" * 20}":"7"'
+BASES = ["{}", "{\n}", " { } \n", "{A}", "{A,B}", "{\n  A,\n  B\n}", "{A ,\tB}\r\n", "", "  ", "garbage", "{A", "A}", "{A,}", "{,A}", "{A},", "{A} {B}", "{A,,B}", "{A}{", "{A B}", "{{A}}", "[{A}]", '{"x":{A}}', "{A}\0", "{A,{B}", "{A},B}", '"A,B"', "{", "}", ","]
+JOURNALS = ["", "\n", "{A}", "{A}\n", "{A}\n#1\n{B}\n#2\n", '{A}\n{B}\n{"ab', '{A}\n{"ab\n', '{"ab\n{A}\n{"ab', "#1\n\n{A}\n#", "{A}\n\0\0\n#2\n", "{A,B}\n", "{A\n{B}"]
+
+
+@pytest.mark.parametrize("block", ["9", "1m"])
+def test_ledger_files_of_all_forms(spark, tmp_path, block):
+    """In blocks of any size, a base is one object and only an unfinished last line of a journal may be torn."""
+    full = lambda t: t.replace("A", LEDGER_A).replace("B", LEDGER_B)
+    cases = [(t, []) for t in BASES] + [(None, [t]) for t in JOURNALS] + [("{A}", ['{B}\n{"a', "{B}\n"])]
+    spark.conf.set("spark.sql.files.maxPartitionBytes", block)
+    spark.conf.set("spark.sql.files.openCostInBytes", "1")
+    try:
+        for k, (base, journals) in enumerate(cases):
+            base, journals = base and full(base) if base else base, [full(t) for t in journals]
+            for suffix, t in (("", base), *zip((".journal", ".journal.old"), journals, strict=False)):
+                if t is not None:
+                    (tmp_path / f"{k}{suffix}").write_text(t)
+            want = loaded(base, journals, "cd" * 20)
+            try:
+                out = {r.beneficiary: int(r.amount) for r in files.read_ledger(spark, f"file://{tmp_path}/{k}", "cd" * 20).collect()}
+            except Exception as e:  # noqa: BLE001
+                assert "isn't one object" in str(e) or "USER_RAISED" in str(e)
+                out = None
+            assert out == want, (base, journals)
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+
+
+@pytest.mark.parametrize(("parts", "sound"), [(["{A,", "B}"], True), (["{A,\n", "B\n}"], True), (["{", "A}"], False), (["{A", "B}"], False), (["{A,", ",B}"], False), (["{A,", "B},"], False), (["A,", "{B}"], False)])
+def test_ledger_base_in_parts(spark, tmp_path, parts, sound):
+    """The files of a folder are one object, and a comma stands where an entry ends."""
+    (tmp_path / "ledger").mkdir()
+    for k, t in enumerate(parts):
+        (tmp_path / "ledger" / f"part-{k}").write_text(t.replace("A", LEDGER_A).replace("B", LEDGER_B))
+    if sound:
+        assert sorted(r.amount for r in files.read_ledger(spark, f"file://{tmp_path}/ledger", "cd" * 20).collect()) == ["5", "7"]
+    else:
+        with pytest.raises(Exception, match="isn't one object|USER_RAISED"):
+            files.read_ledger(spark, f"file://{tmp_path}/ledger", "cd" * 20).collect()
+
+
+def test_ledger_query_writes_and_reads_three_files(spark, tmp_path, monkeypatch):
+    """Each of the three is there in its format, and each has amounts that no other one has."""
+    from tesserae.plans import files as plans
+    from tests.oracle import DATA
+
+    if not DATA.exists():
+        pytest.skip("no tables here")
+    monkeypatch.setattr(plans, "shared_path", lambda *a: f"file://{tmp_path}/ledger")
+    got = {r.beneficiary: int(r.amount) for r in plans.ledger_files(spark, f"{DATA}/sf0.001").collect()}
+    text = lambda suffix: "".join(p.read_text() for p in sorted((tmp_path / f"ledger{suffix}").iterdir()) if p.name[0] not in "._")
+    base, old, new = text(""), text(".journal.old"), text(".journal")
+    assert len(json.loads(base)) > 1 and base.startswith("{\n  ") and old.endswith("}\n") and new.endswith('\n#12\n\n{"ab') and re.search("\n#[0-9]+\n", old)
+    load = lambda *a: loaded(*a, "ab" * 20)
+    assert got == load(base, [old, new]) and all(got != x for x in (load(base, [old]), load(base, [new]), load(None, [old, new])))
+    files.write_ledger(spark.createDataFrame([], "key string, amount string"), f"file://{tmp_path}/none")
+    assert files.read_ledger(spark, f"file://{tmp_path}/none", "ab" * 20).count() == 0
+
+
 def test_ledger_amounts_of_all_lengths(spark):
     """Largest amounts by brute force, by hashing as far as 36 digits decide; lines in odd forms go the general way."""
     who = [f"{k:040x}" for k in range(4)]
